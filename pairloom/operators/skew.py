@@ -39,12 +39,13 @@ def heavy_blocks(
     keys: list[str],
     pairs_per_task: int,
     hot_rows: int | None = None,
-    width: Column = F.lit(0),
+    width: str = "0",
 ) -> DataFrame | None:
     """Blocks worth special care: ``keys``, ``_hot`` (the ``few`` side has more
-    than ``hot_rows`` rows), ``_splits`` and the largest ``_width`` in it."""
-    n_many = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(width).alias("_w"))
-    n_few = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max(width).alias("_v"))
+    than ``hot_rows`` rows), ``_splits`` and ``_width``, the largest value of
+    that SQL expression in the block."""
+    n_many = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr(width)).alias("_w"))
+    n_few = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max(F.expr(width)).alias("_v"))
     pairs = F.col("_n") * F.col("_m").cast("double")
     hot = F.lit(False) if hot_rows is None else F.col("_m") > hot_rows
     heavy = (

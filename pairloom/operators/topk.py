@@ -78,8 +78,9 @@ def top_candidates(
 ) -> DataFrame:
     """``(s1_id, other_id, token_overlap)``: at most ``k`` rows per S1 record."""
     left, right = memberships(s1, other, channels, empty_keys, max_doc_freq)
-    width = F.coalesce(F.size("tokens"), F.lit(0))
-    blocks = heavy_blocks(left, right, BLOCK, pairs_per_task, hot_block_rows, width)
+    blocks = heavy_blocks(
+        left, right, BLOCK, pairs_per_task, hot_block_rows, "coalesce(size(tokens), 0)"
+    )
     if blocks is None:
         return cut(_listed_best(left, right, None), k)
     calm, hot = blocks.where(~F.col("_hot")), blocks.where("_hot")
