@@ -32,6 +32,7 @@ from pairloom.operators import (  # noqa: E402
     vectors,
 )
 from pairloom.operators.normalize import normalize, row_counts  # noqa: E402
+from pairloom.operators.staging import stage  # noqa: E402
 from pairloom.schemas import CANDIDATE_HEADER, MATCHING_HEADER  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,16 +123,22 @@ def _top(tables: dict[str, DataFrame], target: str) -> DataFrame:
     return topk.top_candidates(tables["s1"], tables[target])
 
 
+def _stored_top(tables: dict[str, DataFrame], target: str) -> DataFrame:
+    """As the jobs do: the candidates are written before features read them."""
+    return stage(_top(tables, target), "candidates")
+
+
 def _token_overlap(tables: dict[str, DataFrame], target: str) -> DataFrame:
     pairs = blocking.candidate_pairs(tables["s1"], tables[target], ALL_CHANNELS)
-    return topk.token_overlap_pairs(pairs, tables["s1"], tables[target])
+    return topk.token_overlap_pairs(stage(pairs, "pairs"), tables["s1"], tables[target])
 
 
 # -- features --------------------------------------------------------------
 
 
 def _exact(tables: dict[str, DataFrame], target: str) -> DataFrame:
-    return features.exact_features(_top(tables, target), tables["s1"], tables[target])
+    pairs = _stored_top(tables, target)
+    return features.exact_features(pairs, tables["s1"], tables[target])
 
 
 def _exact_source(target: str) -> Query:
@@ -243,7 +250,7 @@ def _overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _normalized(spark, sf_dir)
     parts = []
     for t in TARGETS:
-        pairs = features.attach_records(_top(tables, t), tables["s1"], tables[t])
+        pairs = features.attach_records(_stored_top(tables, t), tables["s1"], tables[t])
         a, b = (text.tokens(F.col(f"{side}.name_norm")) for side in "ab")
         share = text.token_overlap(a, b) / F.greatest(F.size(a), F.size(b))
         score = F.round(F.coalesce(share, F.lit(0.0)), 4)

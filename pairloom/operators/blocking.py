@@ -173,7 +173,7 @@ def candidate_pairs(
     left = left.select(*BLOCK, F.col("entity_id").alias("s1_id"))
     right = right.select(*BLOCK, F.col("entity_id").alias("other_id"))
     heavy = heavy_blocks(left, right, BLOCK, pairs_per_task)
-    pairs = join_split(left, right, BLOCK, F.col("s1_id"), heavy)
+    pairs = join_split(left, right, BLOCK, F.col("s1_id"), heavy.calm)
     return pairs.select("s1_id", "other_id").distinct()
 
 

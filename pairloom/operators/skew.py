@@ -6,31 +6,48 @@ keys. That list is the only thing broadcast. Where it is empty the plan is a
 plain equi-join.
 """
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # Hard bound of the list of heavy keys. Keys past it are joined unsalted, with
 # the same result.
 MAX_HEAVY_KEYS = 50_000
 MAX_SPLITS = 4_096
+ROWS_PER_TASK = 1_000_000
 
 
 def _splits(n: Column, per_task: int) -> Column:
     return F.least(F.ceil(n / F.lit(per_task)), F.lit(MAX_SPLITS)).cast("int")
 
 
-def bounded_table(df: DataFrame, order: Column) -> DataFrame | None:
-    """The first ``MAX_HEAVY_KEYS`` rows as a local table; None if empty."""
-    rows = df.orderBy(order).limit(MAX_HEAVY_KEYS).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if rows else None
+def bounded_rows(df: DataFrame, order: Column) -> list[Row]:
+    return df.orderBy(order).limit(MAX_HEAVY_KEYS).collect()
+
+
+def local_table(rows: list[Row], like: DataFrame) -> DataFrame | None:
+    return like.sparkSession.createDataFrame(rows, like.schema) if rows else None
 
 
 def heavy_keys(many: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame | None:
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.where(F.col("_n") > rows_per_task)
-    return bounded_table(
-        heavy.withColumn("_splits", _splits(F.col("_n"), rows_per_task)), F.desc("_n")
+    heavy = counts.where(F.col("_n") > rows_per_task).withColumn(
+        "_splits", _splits(F.col("_n"), rows_per_task)
     )
+    return local_table(bounded_rows(heavy, F.desc("_n")), heavy)
+
+
+@dataclass(frozen=True)
+class HeavyBlocks:
+    """Blocks worth special care. ``hot`` ones have more than the allowed rows
+    on the ``few`` side; ``calm`` ones merely multiply to many pairs."""
+
+    calm: DataFrame | None = None
+    hot: DataFrame | None = None
+    # Over the hot blocks: most rows on the ``many`` side, largest width.
+    most_rows: int = 0
+    widest: int = 0
 
 
 def heavy_blocks(
@@ -40,10 +57,8 @@ def heavy_blocks(
     pairs_per_task: int,
     hot_rows: int | None = None,
     width: str = "0",
-) -> DataFrame | None:
-    """Blocks worth special care: ``keys``, ``_hot`` (the ``few`` side has more
-    than ``hot_rows`` rows), ``_splits`` and ``_width``, the largest value of
-    that SQL expression in the block."""
+) -> HeavyBlocks:
+    """``width`` is an SQL expression whose maximum per block is kept."""
     n_many = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr(width)).alias("_w"))
     n_few = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max(F.expr(width)).alias("_v"))
     pairs = F.col("_n") * F.col("_m").cast("double")
@@ -53,13 +68,21 @@ def heavy_blocks(
         .where(hot | (pairs > pairs_per_task))
         .select(
             *keys,
+            "_n",
             pairs.alias("_pairs"),
             hot.alias("_hot"),
             F.least(_splits(pairs, pairs_per_task), F.col("_n")).cast("int").alias("_splits"),
             F.greatest("_w", "_v").alias("_width"),
         )
     )
-    return bounded_table(heavy, F.desc("_pairs"))
+    rows = bounded_rows(heavy, F.desc("_pairs"))
+    hot_blocks = [r for r in rows if r["_hot"]]
+    return HeavyBlocks(
+        calm=local_table([r for r in rows if not r["_hot"]], heavy),
+        hot=local_table(hot_blocks, heavy),
+        most_rows=max((r["_n"] for r in hot_blocks), default=0),
+        widest=max((r["_width"] for r in hot_blocks), default=0),
+    )
 
 
 def join_split(
@@ -86,8 +109,13 @@ def salted_join(
     few: DataFrame,
     keys: list[str],
     row_id: Column,
-    rows_per_task: int = 1_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Inner equi-join for a ``many`` side with hot keys and a ``few`` side
-    with a bounded number of rows per key."""
+    with a bounded number of rows per key. ``most_rows`` is an upper bound of
+    the ``many`` rows per key, if the caller has one: when it is low enough,
+    nothing needs counting."""
+    if most_rows is not None and most_rows <= rows_per_task:
+        return many.join(few, keys)
     return join_split(many, few, keys, row_id, heavy_keys(many, keys, rows_per_task))

@@ -27,7 +27,7 @@ from pairloom.operators.blocking import (
     RARE_GRAM_MAX_DOC_FREQ,
     memberships,
 )
-from pairloom.operators.skew import heavy_blocks, join_split, salted_join
+from pairloom.operators.skew import ROWS_PER_TASK, heavy_blocks, join_split, salted_join
 from pairloom.operators.staging import stage
 
 # Fixed value: candidates kept per S1 record and target source.
@@ -75,28 +75,27 @@ def top_candidates(
     hot_block_rows: int = 512,
     max_subset_tokens: int = 10,
     pairs_per_task: int = 20_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``(s1_id, other_id, token_overlap)``: at most ``k`` rows per S1 record."""
     left, right = memberships(s1, other, channels, empty_keys, max_doc_freq)
     blocks = heavy_blocks(
         left, right, BLOCK, pairs_per_task, hot_block_rows, "coalesce(size(tokens), 0)"
     )
-    if blocks is None:
-        return cut(_listed_best(left, right, None), k)
-    calm, hot = blocks.where(~F.col("_hot")), blocks.where("_hot")
-    hot_keys = F.broadcast(hot.select(*BLOCK))
-    widest = hot.agg(F.max("_width")).first()[0]
+    if blocks.hot is None:
+        return cut(_listed_best(left, right, blocks.calm), k)
+    hot = F.broadcast(blocks.hot.select(*BLOCK))
     listed = _listed_best(
-        left.join(hot_keys, BLOCK, "left_anti"), right.join(hot_keys, BLOCK, "left_anti"), calm
+        left.join(hot, BLOCK, "left_anti"), right.join(hot, BLOCK, "left_anti"), blocks.calm
     )
-    if widest is None:
-        return cut(listed, k)
     indexed = _indexed_best(
-        left.join(hot_keys, BLOCK, "left_semi"),
-        right.join(hot_keys, BLOCK, "left_semi"),
+        left.join(hot, BLOCK, "left_semi"),
+        right.join(hot, BLOCK, "left_semi"),
         k,
         max_subset_tokens,
-        any_wide=widest > max_subset_tokens,
+        rows_per_task,
+        blocks.most_rows,
+        any_wide=blocks.widest > max_subset_tokens,
     )
     return cut(listed.unionByName(indexed), k)
 
@@ -139,12 +138,25 @@ def _entries(tokens: str, max_tokens: int, if_named: str, if_nameless: list[str]
 
 
 def _indexed_best(
-    left: DataFrame, right: DataFrame, k: int, max_tokens: int, any_wide: bool
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    max_tokens: int,
+    rows_per_task: int,
+    most_rows: int,
+    any_wide: bool,
 ) -> DataFrame:
+    """``most_rows`` is the S1 size of the largest hot block. Tables are
+    written out where counting hot keys or joining wide names would compute
+    them a second time."""
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        return stage(df, label) if any_wide or most_rows > rows_per_task else df
+
     named = [*BLOCK, "a"]
     # Records of one block with the same name are interchangeable but for the
     # id: the other side keeps k of them, the S1 side is ranked once per name.
-    right = stage(
+    right = kept(
         _smallest_ids(
             right.select(*BLOCK, F.col("tokens").alias("b"), F.col("entity_id").alias("other_id")),
             [*BLOCK, "b"],
@@ -152,11 +164,11 @@ def _indexed_best(
         ),
         "hot-records",
     )
-    names = stage(left.select(*BLOCK, F.col("tokens").alias("a")).distinct(), "hot-names")
+    names = kept(left.select(*BLOCK, F.col("tokens").alias("a")).distinct(), "hot-names")
 
     # A nameless record is found under both extra entries; a named one looks
     # past its subsets for nameless records, a nameless one for any record.
-    index = stage(
+    index = kept(
         _smallest_ids(
             right.withColumn("entry", _entries("b", max_tokens, _ANY, [_NO_NAME, _ANY])),
             [*BLOCK, "entry"],
@@ -165,12 +177,13 @@ def _indexed_best(
         "subset-index",
     )
     probes = names.withColumn("entry", _entries("a", max_tokens, _NO_NAME, [_ANY]))
-    pairs = salted_join(probes, index, [*BLOCK, "entry"], F.col("a"))
+    by_entry = [*BLOCK, "entry"]
     columns = [*named, "other_id", "b"]
+    pairs = salted_join(probes, index, by_entry, F.col("a"), rows_per_task, most_rows)
     pairs = pairs.select(columns)
     if any_wide:
-        pairs = pairs.union(_wide_pairs(names, right, max_tokens).select(columns))
-    best = cut(_score(pairs, named), k, named)
+        pairs = pairs.union(_wide_pairs(names, right, max_tokens, rows_per_task).select(columns))
+    best = kept(cut(_score(pairs, named), k, named), "hot-best")
 
     owners = left.select(*BLOCK, F.col("tokens").alias("a"), F.col("entity_id").alias("s1_id"))
     # An equi-join would lose NULL tokens, so the name is joined as text.
@@ -180,18 +193,24 @@ def _indexed_best(
         best.withColumn("name_key", name_key).drop("a"),
         [*BLOCK, "name_key"],
         F.col("s1_id"),
+        rows_per_task,
+        most_rows,
     ).select("s1_id", "other_id", "token_overlap")
 
 
-def _wide_pairs(names: DataFrame, right: DataFrame, max_tokens: int) -> DataFrame:
+def _wide_pairs(
+    names: DataFrame, right: DataFrame, max_tokens: int, rows_per_task: int
+) -> DataFrame:
     """Pairs of a hot block that share a token and have a name on either side
     with more than ``max_tokens`` tokens."""
     by_token = [*BLOCK, "token"]
     left_tokens = names.withColumn("token", F.explode("a"))
     right_tokens = right.withColumn("token", F.explode("b"))
     wide_a, wide_b = F.size("a") > max_tokens, F.size("b") > max_tokens
-    wide_left = salted_join(right_tokens, left_tokens.where(wide_a), by_token, F.col("other_id"))
+    wide_left = salted_join(
+        right_tokens, left_tokens.where(wide_a), by_token, F.col("other_id"), rows_per_task
+    )
     wide_right = salted_join(
-        left_tokens.where(~wide_a), right_tokens.where(wide_b), by_token, F.col("a")
+        left_tokens.where(~wide_a), right_tokens.where(wide_b), by_token, F.col("a"), rows_per_task
     )
     return wide_left.unionByName(wide_right)
