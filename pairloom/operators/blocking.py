@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators.skew import heavy_blocks, join_split
+from pairloom.operators.skew import PAIRS_PER_TASK, heavy_blocks, join_split
 from pairloom.operators.staging import stage
 
 # Channel names and the rare-gram limit.
@@ -162,7 +162,7 @@ def candidate_pairs(
     channels: list[str],
     empty_keys: str = "keep",
     max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ,
-    pairs_per_task: int = 20_000_000,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Distinct ``(s1_id, other_id)`` sharing a block in any of ``channels``.
 
@@ -173,7 +173,7 @@ def candidate_pairs(
     left = left.select(*BLOCK, F.col("entity_id").alias("s1_id"))
     right = right.select(*BLOCK, F.col("entity_id").alias("other_id"))
     heavy = heavy_blocks(left, right, BLOCK, pairs_per_task)
-    pairs = join_split(left, right, BLOCK, F.col("s1_id"), heavy.calm)
+    pairs = join_split(left, right, BLOCK, F.col("s1_id"), F.col("other_id"), heavy.calm)
     return pairs.select("s1_id", "other_id").distinct()
 
 

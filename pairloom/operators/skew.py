@@ -11,11 +11,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Hard bound of the list of heavy keys. Keys past it are joined unsalted, with
-# the same result.
+from pairloom.operators.staging import stage
+
+# Hard bound of the list of heavy keys. A key past it holds less than one in
+# MAX_HEAVY_KEYS of the rows and is joined like any other.
 MAX_HEAVY_KEYS = 50_000
 MAX_SPLITS = 4_096
 ROWS_PER_TASK = 1_000_000
+PAIRS_PER_TASK = 20_000_000
+# Rows of the second side of a block that one task sees.
+FEW_ROWS = 4_096
 
 
 def _splits(n: Column, per_task: int) -> Column:
@@ -32,8 +37,8 @@ def local_table(rows: list[Row], like: DataFrame) -> DataFrame | None:
 
 def heavy_keys(many: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame | None:
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.where(F.col("_n") > rows_per_task).withColumn(
-        "_splits", _splits(F.col("_n"), rows_per_task)
+    heavy = counts.where(F.col("_n") > rows_per_task).select(
+        *keys, "_n", _splits(F.col("_n"), rows_per_task).alias("_p"), F.lit(1).alias("_q")
     )
     return local_table(bounded_rows(heavy, F.desc("_n")), heavy)
 
@@ -41,67 +46,109 @@ def heavy_keys(many: DataFrame, keys: list[str], rows_per_task: int) -> DataFram
 @dataclass(frozen=True)
 class HeavyBlocks:
     """Blocks worth special care. ``hot`` ones have more than the allowed rows
-    on the ``few`` side; ``calm`` ones merely multiply to many pairs."""
+    on the second side; ``calm`` ones merely multiply to many pairs."""
 
     calm: DataFrame | None = None
     hot: DataFrame | None = None
-    # Over the hot blocks: most rows on the ``many`` side, largest width.
+    # Hot blocks past the broadcast bound.
+    more_hot: DataFrame | None = None
+    # Over the hot blocks: most rows on the first side, largest width.
     most_rows: int = 0
     widest: int = 0
 
+    def within(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows of ``df`` in hot blocks. The largest blocks are told by the
+        broadcast list, so the join with the rest meets no hot key."""
+        largest = F.broadcast(self.hot.select(*keys))
+        inside = df.join(largest, keys, "left_semi")
+        if self.more_hot is None:
+            return inside
+        rest = df.join(largest, keys, "left_anti")
+        return inside.unionByName(rest.join(self.more_hot, keys, "left_semi"))
+
+    def outside(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        rest = df.join(F.broadcast(self.hot.select(*keys)), keys, "left_anti")
+        return rest if self.more_hot is None else rest.join(self.more_hot, keys, "left_anti")
+
 
 def heavy_blocks(
-    many: DataFrame,
-    few: DataFrame,
+    first: DataFrame,
+    second: DataFrame,
     keys: list[str],
     pairs_per_task: int,
     hot_rows: int | None = None,
     width: str = "0",
 ) -> HeavyBlocks:
     """``width`` is an SQL expression whose maximum per block is kept."""
-    n_many = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr(width)).alias("_w"))
-    n_few = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max(F.expr(width)).alias("_v"))
-    pairs = F.col("_n") * F.col("_m").cast("double")
-    hot = F.lit(False) if hot_rows is None else F.col("_m") > hot_rows
+    n_first = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr(width)).alias("_w"))
+    n_second = second.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max(F.expr(width)).alias("_v"))
+    n, m = F.col("_n"), F.col("_m")
+    pairs = n * m.cast("double")
+    hot = F.lit(False) if hot_rows is None else m > hot_rows
     heavy = (
-        n_many.join(n_few, keys)
+        n_first.join(n_second, keys)
         .where(hot | (pairs > pairs_per_task))
         .select(
             *keys,
             "_n",
             pairs.alias("_pairs"),
             hot.alias("_hot"),
-            F.least(_splits(pairs, pairs_per_task), F.col("_n")).cast("int").alias("_splits"),
+            F.least(_splits(n * F.least(m, F.lit(FEW_ROWS)), pairs_per_task), n)
+            .cast("int")
+            .alias("_p"),
+            _splits(m, FEW_ROWS).alias("_q"),
             F.greatest("_w", "_v").alias("_width"),
         )
     )
     rows = bounded_rows(heavy, F.desc("_pairs"))
     hot_blocks = [r for r in rows if r["_hot"]]
+    most_rows = max((r["_n"] for r in hot_blocks), default=0)
+    widest = max((r["_width"] for r in hot_blocks), default=0)
+    listed, more_hot = local_table(hot_blocks, heavy), None
+    if listed is not None and len(rows) == MAX_HEAVY_KEYS:
+        more_hot = stage(
+            heavy.where("_hot").join(F.broadcast(listed.select(*keys)), keys, "left_anti"),
+            "hot-blocks",
+        )
+        more = more_hot.agg(F.max("_n"), F.max("_width")).first()
+        most_rows, widest = max(most_rows, more[0] or 0), max(widest, more[1] or 0)
     return HeavyBlocks(
         calm=local_table([r for r in rows if not r["_hot"]], heavy),
-        hot=local_table(hot_blocks, heavy),
-        most_rows=max((r["_n"] for r in hot_blocks), default=0),
-        widest=max((r["_width"] for r in hot_blocks), default=0),
+        hot=listed,
+        more_hot=None if more_hot is None else more_hot.select(*keys),
+        most_rows=most_rows,
+        widest=widest,
     )
 
 
 def join_split(
-    many: DataFrame, few: DataFrame, keys: list[str], row_id: Column, heavy: DataFrame | None
+    first: DataFrame,
+    second: DataFrame,
+    keys: list[str],
+    first_id: Column,
+    second_id: Column,
+    heavy: DataFrame | None,
 ) -> DataFrame:
-    """Inner equi-join. Rows of ``many`` under a heavy key are dealt over that
-    key's ``_splits`` tasks by the hash of ``row_id``; the matching rows of
-    ``few`` are copied to each of them."""
+    """Inner equi-join. A heavy key is cut into ``_p`` times ``_q`` tasks: its
+    rows are dealt by the hash of their id, ``_p`` ways on the first side and
+    ``_q`` ways on the second, and copied along the other direction."""
     if heavy is None:
-        return many.join(few, keys)
-    heavy = F.broadcast(heavy.select(*keys, "_splits"))
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    dealt = many.join(heavy, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(row_id), splits).cast("int")
-    )
-    copied = few.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), splits - 1))
-    )
-    return dealt.drop("_splits").join(copied.drop("_splits"), [*keys, "_salt"]).drop("_salt")
+        return first.join(second, keys)
+    heavy = F.broadcast(heavy.select(*keys, "_p", "_q"))
+    p, q = F.coalesce("_p", F.lit(1)), F.coalesce("_q", F.lit(1))
+
+    def dealt(df: DataFrame, own: str, ways: Column, row_id: Column, copied: str, copies: Column):
+        columns = df.columns
+        return (
+            df.join(heavy, keys, "left")
+            .withColumn(own, F.pmod(F.xxhash64(row_id), ways).cast("int"))
+            .withColumn(copied, F.explode(F.sequence(F.lit(0), copies - 1)))
+            .select(*columns, own, copied)
+        )
+
+    left = dealt(first, "_i", p, first_id, "_j", q)
+    right = dealt(second, "_j", q, second_id, "_i", p)
+    return left.join(right, [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
 def salted_join(
@@ -118,4 +165,4 @@ def salted_join(
     nothing needs counting."""
     if most_rows is not None and most_rows <= rows_per_task:
         return many.join(few, keys)
-    return join_split(many, few, keys, row_id, heavy_keys(many, keys, rows_per_task))
+    return join_split(many, few, keys, row_id, F.lit(0), heavy_keys(many, keys, rows_per_task))

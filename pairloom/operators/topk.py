@@ -10,7 +10,9 @@ of each block, so blocks can be treated one by one:
   containing ``S`` with a smaller id than ``b`` ranks above ``b``; hence ``b``
   is one of the ``k`` smallest ids listed under ``S``. Looking up every subset
   of ``a``'s tokens in an index that lists ``k`` ids per subset therefore finds
-  all of the best candidates. Work grows with the rows, not with their product.
+  all of the best candidates, each under exactly the tokens it shares. Other
+  records may turn up with too few shared tokens, but only where ``k`` better
+  ones are listed. Work grows with the rows, not with their product.
 * Names with very many tokens have too many subsets; in hot blocks they meet
   the records they share a token with through a token join instead, and the
   rest through the index entry of the empty subset.
@@ -27,7 +29,13 @@ from pairloom.operators.blocking import (
     RARE_GRAM_MAX_DOC_FREQ,
     memberships,
 )
-from pairloom.operators.skew import ROWS_PER_TASK, heavy_blocks, join_split, salted_join
+from pairloom.operators.skew import (
+    PAIRS_PER_TASK,
+    ROWS_PER_TASK,
+    heavy_blocks,
+    join_split,
+    salted_join,
+)
 from pairloom.operators.staging import stage
 
 # Fixed value: candidates kept per S1 record and target source.
@@ -74,7 +82,7 @@ def top_candidates(
     max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ,
     hot_block_rows: int = 512,
     max_subset_tokens: int = 10,
-    pairs_per_task: int = 20_000_000,
+    pairs_per_task: int = PAIRS_PER_TASK,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``(s1_id, other_id, token_overlap)``: at most ``k`` rows per S1 record."""
@@ -84,13 +92,12 @@ def top_candidates(
     )
     if blocks.hot is None:
         return cut(_listed_best(left, right, blocks.calm), k)
-    hot = F.broadcast(blocks.hot.select(*BLOCK))
     listed = _listed_best(
-        left.join(hot, BLOCK, "left_anti"), right.join(hot, BLOCK, "left_anti"), blocks.calm
+        blocks.outside(left, BLOCK), blocks.outside(right, BLOCK), blocks.calm
     )
     indexed = _indexed_best(
-        left.join(hot, BLOCK, "left_semi"),
-        right.join(hot, BLOCK, "left_semi"),
+        blocks.within(left, BLOCK),
+        blocks.within(right, BLOCK),
         k,
         max_subset_tokens,
         rows_per_task,
@@ -103,12 +110,9 @@ def top_candidates(
 def _listed_best(left: DataFrame, right: DataFrame, heavy: DataFrame | None) -> DataFrame:
     left = left.withColumnsRenamed({"entity_id": "s1_id", "tokens": "a"})
     right = right.withColumnsRenamed({"entity_id": "other_id", "tokens": "b"})
-    return _score(join_split(left, right, BLOCK, F.col("s1_id"), heavy), ["s1_id"])
-
-
-def _score(pairs: DataFrame, group: list[str]) -> DataFrame:
+    pairs = join_split(left, right, BLOCK, F.col("s1_id"), F.col("other_id"), heavy)
     overlap = text.token_overlap(F.col("a"), F.col("b"))
-    return pairs.select(*group, "other_id", overlap.alias("token_overlap"))
+    return pairs.select("s1_id", "other_id", overlap.alias("token_overlap"))
 
 
 def _subsets(tokens: Column) -> Column:
@@ -137,6 +141,12 @@ def _entries(tokens: str, max_tokens: int, if_named: str, if_nameless: list[str]
     return F.explode(F.when(col.isNull(), nameless).otherwise(named))
 
 
+def _entry_size(entry: Column) -> Column:
+    """Tokens in a subset; NULL for the other entries."""
+    spaces = F.length(entry) - F.length(F.replace(entry, F.lit(" ")))
+    return F.when(~entry.isin(_ANY, _NO_NAME), spaces)
+
+
 def _indexed_best(
     left: DataFrame,
     right: DataFrame,
@@ -153,7 +163,7 @@ def _indexed_best(
     def kept(df: DataFrame, label: str) -> DataFrame:
         return stage(df, label) if any_wide or most_rows > rows_per_task else df
 
-    named = [*BLOCK, "a"]
+    by_entry, by_name = [*BLOCK, "entry"], [*BLOCK, "a"]
     # Records of one block with the same name are interchangeable but for the
     # id: the other side keeps k of them, the S1 side is ranked once per name.
     right = kept(
@@ -168,22 +178,27 @@ def _indexed_best(
 
     # A nameless record is found under both extra entries; a named one looks
     # past its subsets for nameless records, a nameless one for any record.
+    entries = right.select(*BLOCK, "other_id", _entries("b", max_tokens, _ANY, [_NO_NAME, _ANY]).alias("entry"))
     index = kept(
-        _smallest_ids(
-            right.withColumn("entry", _entries("b", max_tokens, _ANY, [_NO_NAME, _ANY])),
-            [*BLOCK, "entry"],
-            k,
-        ),
+        _smallest_ids(entries, by_entry, k).groupBy(*by_entry).agg(F.collect_list("other_id").alias("ids")),
         "subset-index",
     )
     probes = names.withColumn("entry", _entries("a", max_tokens, _NO_NAME, [_ANY]))
-    by_entry = [*BLOCK, "entry"]
-    columns = [*named, "other_id", "b"]
-    pairs = salted_join(probes, index, by_entry, F.col("a"), rows_per_task, most_rows)
-    pairs = pairs.select(columns)
+    found = salted_join(probes, index, by_entry, F.col("a"), rows_per_task, most_rows).select(
+        *by_name, _entry_size(F.col("entry")).alias("shared"), "ids"
+    )
     if any_wide:
-        pairs = pairs.union(_wide_pairs(names, right, max_tokens, rows_per_task).select(columns))
-    best = kept(cut(_score(pairs, named), k, named), "hot-best")
+        found = found.unionByName(_wide_pairs(names, right, max_tokens, rows_per_task))
+
+    # The lists cross the shuffle unexploded. A record's largest subset found
+    # is its exact overlap if it is among the best: see the module's notes.
+    scored = (
+        found.repartition(*by_name)
+        .select(*by_name, "shared", F.explode("ids").alias("other_id"))
+        .groupBy(*by_name, "other_id")
+        .agg(F.max("shared").alias("token_overlap"))
+    )
+    best = kept(cut(scored, k, by_name), "hot-best")
 
     owners = left.select(*BLOCK, F.col("tokens").alias("a"), F.col("entity_id").alias("s1_id"))
     # An equi-join would lose NULL tokens, so the name is joined as text.
@@ -202,15 +217,19 @@ def _wide_pairs(
     names: DataFrame, right: DataFrame, max_tokens: int, rows_per_task: int
 ) -> DataFrame:
     """Pairs of a hot block that share a token and have a name on either side
-    with more than ``max_tokens`` tokens."""
+    with more than ``max_tokens`` tokens, in the shape of index findings."""
     by_token = [*BLOCK, "token"]
     left_tokens = names.withColumn("token", F.explode("a"))
     right_tokens = right.withColumn("token", F.explode("b"))
     wide_a, wide_b = F.size("a") > max_tokens, F.size("b") > max_tokens
-    wide_left = salted_join(
+    pairs = salted_join(
         right_tokens, left_tokens.where(wide_a), by_token, F.col("other_id"), rows_per_task
+    ).unionByName(
+        salted_join(
+            left_tokens.where(~wide_a), right_tokens.where(wide_b), by_token, F.col("a"), rows_per_task
+        )
     )
-    wide_right = salted_join(
-        left_tokens.where(~wide_a), right_tokens.where(wide_b), by_token, F.col("a"), rows_per_task
+    overlap = text.token_overlap(F.col("a"), F.col("b"))
+    return pairs.select(
+        *BLOCK, "a", overlap.alias("shared"), F.array("other_id").alias("ids")
     )
-    return wide_left.unionByName(wide_right)

@@ -4,7 +4,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import blocking, topk
+from pairloom.operators import blocking, skew, topk
 from pairloom.operators.blocking import KEY_CHANNELS, RARE_GRAM
 
 SCHEMA = (
@@ -73,6 +73,15 @@ def test_against_brute_force(spark, rows_of, options):
     assert rows_of(found) == brute_top(left, right, 5)
 
 
+def test_more_hot_blocks_than_can_be_broadcast(spark, rows_of, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 2)
+    left, right = random_rows("S1", 60, 3), random_rows("S2", 80, 4)
+    frames = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    options = {"hot_block_rows": 2, "max_subset_tokens": 4}
+    found = topk.top_candidates(*frames, k=5, channels=KEY_CHANNELS, **options)
+    assert rows_of(found) == brute_top(left, right, 5)
+
+
 def test_hot_block_of_nameless_records(spark, rows_of):
     """Names unknown on one side only, on both, and nowhere else to match."""
     left = [(f"S1-{i}", None if i % 2 else "acme inc", None, None, "") for i in range(20)]
