@@ -120,7 +120,9 @@ def _gram_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top(tables: dict[str, DataFrame], target: str) -> DataFrame:
-    return topk.top_candidates(tables["s1"], tables[target])
+    if "frequent" not in tables:
+        tables["frequent"] = blocking.frequent_grams(tables["s1"])
+    return topk.top_candidates(tables["s1"], tables[target], frequent=tables["frequent"])
 
 
 def _stored_top(tables: dict[str, DataFrame], target: str) -> DataFrame:

@@ -103,38 +103,33 @@ def rare_grams(s1: DataFrame, max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ) -> D
     return gram_document_frequency(s1).where(_is_rare(s1, max_doc_freq)).select("gram")
 
 
-def gram_memberships(
-    s1: DataFrame, other: DataFrame, max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ
-) -> tuple[DataFrame, DataFrame]:
-    """Rare-gram memberships of both sides.
+def frequent_grams(s1: DataFrame, max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ) -> DataFrame:
+    """``(gram)``: the grams of S1 names that are *not* rare, written once, as
+    every rare-gram join reads them.
 
-    Filtering by the *frequent* grams needs the smaller table: an entity has
-    about as many grams as its name has letters, so at most (mean grams per
+    This is the smaller side of the split, small enough to broadcast: an entity
+    has about as many grams as its name has letters, so at most (mean grams per
     name / ``max_doc_freq``) grams can reach that frequency, and normalized
     text has 37 letters, which bounds the table at 37**4 short rows however
-    many entities there are. A gram that no S1 name has finds no partner in
-    the block join. The table is written once, as both sides read it.
+    many entities there are.
     """
-    frequent = stage(
-        gram_document_frequency(s1)
-        .where(~_is_rare(s1, max_doc_freq))
-        .select(F.col("gram").alias("block_key")),
-        "frequent-grams",
-    )
+    frequent = gram_document_frequency(s1).where(~_is_rare(s1, max_doc_freq))
+    return stage(frequent.select("gram"), "frequent-grams")
 
-    def members(df: DataFrame) -> DataFrame:
-        return (
-            df.select(
-                "entity_id",
-                text.tokens(F.col("name_norm")).alias("tokens"),
-                F.lit(RARE_GRAM).alias("channel"),
-                F.explode(F.array_distinct(text.grams(F.col("name_norm")))).alias("block_key"),
-            )
-            .join(F.broadcast(frequent), "block_key", "left_anti")
-            .select("entity_id", "tokens", *BLOCK)
-        )
 
-    return members(s1), members(other)
+def gram_memberships(normalized: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rare-gram memberships of either side. A gram that no S1 name has passes
+    here and finds no partner in the block join."""
+    return (
+        normalized.select(
+            "entity_id",
+            text.tokens(F.col("name_norm")).alias("tokens"),
+            F.lit(RARE_GRAM).alias("channel"),
+            F.explode(F.array_distinct(text.grams(F.col("name_norm")))).alias("block_key"),
+        )
+        .join(F.broadcast(frequent.withColumnRenamed("gram", "block_key")), "block_key", "left_anti")
+        .select("entity_id", "tokens", *BLOCK)
+    )
 
 
 def memberships(
@@ -143,17 +138,21 @@ def memberships(
     channels: list[str],
     empty_keys: str = "keep",
     max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ,
+    frequent: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    left, right = [], []
+    """Memberships of both sides. ``frequent`` takes a ready result of
+    :func:`frequent_grams`, for callers with several targets."""
+    sides = [[], []]
     keyed = [c for c in channels if c != RARE_GRAM]
-    if keyed:
-        left.append(key_memberships(s1, keyed, empty_keys))
-        right.append(key_memberships(other, keyed, empty_keys))
-    if RARE_GRAM in channels:
-        s1_grams, other_grams = gram_memberships(s1, other, max_doc_freq)
-        left.append(s1_grams)
-        right.append(other_grams)
-    return reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
+    if RARE_GRAM in channels and frequent is None:
+        frequent = frequent_grams(s1, max_doc_freq)
+    for side, df in zip(sides, (s1, other)):
+        if keyed:
+            side.append(key_memberships(df, keyed, empty_keys))
+        if RARE_GRAM in channels:
+            side.append(gram_memberships(df, frequent))
+    left, right = [reduce(DataFrame.unionByName, side) for side in sides]
+    return left, right
 
 
 def candidate_pairs(

@@ -80,13 +80,14 @@ def top_candidates(
     channels: list[str] = [*KEY_CHANNELS, RARE_GRAM],
     empty_keys: str = "keep",
     max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ,
+    frequent: DataFrame | None = None,
     hot_block_rows: int = 512,
     max_subset_tokens: int = 10,
     pairs_per_task: int = PAIRS_PER_TASK,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``(s1_id, other_id, token_overlap)``: at most ``k`` rows per S1 record."""
-    left, right = memberships(s1, other, channels, empty_keys, max_doc_freq)
+    left, right = memberships(s1, other, channels, empty_keys, max_doc_freq, frequent)
     blocks = heavy_blocks(
         left, right, BLOCK, pairs_per_task, hot_block_rows, "coalesce(size(tokens), 0)"
     )

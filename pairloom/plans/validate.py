@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import quality
 from pairloom.operators.features import stack
-from pairloom.operators.staging import path_exists
+from pairloom.operators.staging import path_exists, stage
 from pairloom.schemas import CANDIDATE_HEADER, MATCHING_HEADER
 from pairloom.sources.readers import ids_of_lines, read_lines
 
@@ -54,7 +54,7 @@ def validate(
             results.append(note(path, problem, quality.ERROR))
             return None
         rows = quality.parse_rows(lines)
-        offending = quality.offenders(rows, lines, required, valid_ids)
+        offending = stage(quality.offenders(rows, lines, required, valid_ids), "offenders")
         results.append(quality.findings(offending, path))
         return rows
 
@@ -68,7 +68,7 @@ def validate(
     elif candidates:
         results.append(note(candidates, "file_not_found", quality.WARNING))
     if matched is not None and listed is not None:
-        outside = quality.outside_candidates(matched, listed)
+        outside = stage(quality.outside_candidates(matched, listed), "offenders")
         results.append(quality.findings(outside, matching, quality.WARNING))
     return stack(*results)
 
