@@ -6,6 +6,7 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -32,8 +33,12 @@ from pairloom.operators import (  # noqa: E402
     vectors,
 )
 from pairloom.operators.normalize import normalize, row_counts  # noqa: E402
-from pairloom.operators.staging import stage  # noqa: E402
-from pairloom.schemas import CANDIDATE_HEADER, MATCHING_HEADER  # noqa: E402
+from pairloom.operators.staging import shared_folder, stage  # noqa: E402
+from pairloom.plans.config import JobConfig  # noqa: E402
+from pairloom.plans.infer import infer  # noqa: E402
+from pairloom.plans.train import train  # noqa: E402
+from pairloom.schemas import CANDIDATE_HEADER, FUZZY_SCORES, MATCHING_HEADER  # noqa: E402
+from pairloom.sources import readers, writers  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -373,7 +378,84 @@ def _validate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.list_statistics(_submission(spark, sf_dir)[1])
 
 
+# -- files and jobs --------------------------------------------------------
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _entity_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The entity tables and the ground truth as tab-separated files."""
+    folder = _new_folder(spark)
+    tables = {s: fixtures.entities(spark, sf_dir, s) for s in ("s1", *TARGETS)}
+    tables["truth"] = fixtures.ground_truth(spark, sf_dir)
+    for name, df in tables.items():
+        df.write.options(sep="\t", header=True, quote="", emptyValue="").csv(f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in tables}
+
+
+def _read_entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _entity_files(spark, sf_dir)
+    return features.stack(*[readers.read_entities(spark, paths[s]) for s in ("s1", *TARGETS)])
+
+
+def _read_truth_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_truth(spark, _entity_files(spark, sf_dir)["truth"])
+
+
+def _read_id_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate lists written as a file and parsed again line by line."""
+    folder = _new_folder(spark)
+    writers.write_id_lists(_candidate_lists(spark, sf_dir), folder)
+    rows = quality.parse_rows(readers.read_lines(spark, folder))
+    return rows.select("s1_id", F.array_join("ids", ",").alias("ids"))
+
+
+def _read_id_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _entity_files(spark, sf_dir)
+    return features.stack(
+        *[readers.ids_of_lines(readers.read_lines(spark, paths[s])) for s in ("s1", *TARGETS)]
+    )
+
+
+def _read_similarity_file(tables: dict[str, DataFrame], target: str) -> DataFrame:
+    spark = tables["s1"].sparkSession
+    folder = _new_folder(spark)
+    writers.write_similarity(_letter_neighbours(tables, target), folder)
+    stored = readers.read_similarity(spark, folder)
+    return stored.withColumn("cosine_sim", F.round(F.col("cosine_sim").cast("double"), 6))
+
+
+def _resumable_features(tables: dict[str, DataFrame], target: str) -> DataFrame:
+    folder = _new_folder(tables["s1"].sparkSession)
+    scored = writers.write_fuzzy_features(_exact(tables, target), folder, n_parts=2)
+    return scored.withColumns({c: F.round(c, 6) for c in FUZZY_SCORES})
+
+
+def _train_and_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both jobs, file to file: the matches of the training entities."""
+    paths, output_folder = _entity_files(spark, sf_dir), _new_folder(spark)
+    config = JobConfig(
+        sources={s: paths[s] for s in ("s1", *TARGETS)},
+        truth=paths["truth"],
+        output=output_folder,
+        boosting=TRIAL,
+        fuzzy_parts=1,
+    )
+    train(spark, config)
+    matching, _ = infer(spark, config)
+    return readers.read_truth(spark, matching)
+
+
 QUERIES: dict[str, Query] = {
+    "read_entity_files": _read_entity_files,
+    "read_truth_file": _read_truth_file,
+    "read_id_list_file": _read_id_list_file,
+    "read_id_column": _read_id_column,
+    "read_similarity_file": _by_target(_read_similarity_file),
+    "resumable_features": _by_target(_resumable_features),
+    "train_and_infer": _train_and_infer,
     "normalize_s1": _normalize_source("s1"),
     "normalize_s2": _normalize_source("s2"),
     "normalize_s3": _normalize_source("s3"),

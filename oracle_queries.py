@@ -343,6 +343,26 @@ def oracles() -> dict[str, str]:
             "count(*) FILTER (WHERE len(ids) > 0) AS n_nonempty FROM rows"
         ),
         "block_sizes": _tagged(_block_sizes()),
+        "read_entity_files": " UNION ALL ".join(f"SELECT * FROM {s}" for s in ("s1", "s2", "s3")),
+        "read_truth_file": (
+            "SELECT source1_entity_id, nullif(matched_entity_ids, '') AS matched_entity_ids FROM gt"
+        ),
+        "read_id_list_file": (
+            f"SELECT source1_entity_id AS s1_id, ids FROM ({_id_lists(_TOP_PAIRS, 'ids')})"
+        ),
+        "read_id_column": " UNION ALL ".join(
+            f"SELECT DISTINCT entity_id FROM {s}" for s in ("s1", "s2", "s3")
+        ),
+        "read_similarity_file": _tagged(
+            "SELECT s1_id, other_id, round(CAST(CAST(cosine_sim AS FLOAT) AS DOUBLE), 6) AS cosine_sim "
+            "FROM {t}_near"
+        ),
+        "resumable_features": " UNION ALL ".join(
+            f"SELECT '{t}' AS target, s1_id, other_id, {', '.join(_FLAGS)}, {', '.join(_FUZZY)} "
+            f"FROM {t}_exact "
+            + " ".join(f"JOIN {_fuzzy_table(t, f)} f_{f} USING (s1_id, other_id)" for f in _FUZZY)
+            for t in ("s2", "s3")
+        ),
     }
     channels = ["name", "address", "postal", "postal_nonempty", "house_name", "union", "rare_gram", "all"]
     selects |= {

@@ -19,7 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators.skew import PAIRS_PER_TASK, heavy_blocks, join_split
+from pairloom.operators.skew import (
+    PAIRS_PER_TASK,
+    broadcast_if_small,
+    heavy_blocks,
+    join_split,
+)
 from pairloom.operators.staging import stage
 
 # Channel names and the rare-gram limit.
@@ -28,6 +33,9 @@ KEY_CHANNELS = [NAME, ADDRESS, POSTAL, HOUSE_NAME]
 RARE_GRAM = "rare_gram"
 RARE_GRAM_MAX_DOC_FREQ = 0.001
 
+# Different grams of normalized text: 26 letters, 10 digits and the space.
+MAX_GRAMS = 37**text.GRAM_LENGTH
+
 BLOCK = ["channel", "block_key"]
 
 
@@ -110,8 +118,8 @@ def frequent_grams(s1: DataFrame, max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ)
     This is the smaller side of the split, small enough to broadcast: an entity
     has about as many grams as its name has letters, so at most (mean grams per
     name / ``max_doc_freq``) grams can reach that frequency, and normalized
-    text has 37 letters, which bounds the table at 37**4 short rows however
-    many entities there are.
+    text bounds the table at ``MAX_GRAMS`` short rows however many entities
+    there are. Readers check the count before they broadcast it.
     """
     frequent = gram_document_frequency(s1).where(~_is_rare(s1, max_doc_freq))
     return stage(frequent.select("gram"), "frequent-grams")
@@ -127,7 +135,7 @@ def gram_memberships(normalized: DataFrame, frequent: DataFrame) -> DataFrame:
             F.lit(RARE_GRAM).alias("channel"),
             F.explode(F.array_distinct(text.grams(F.col("name_norm")))).alias("block_key"),
         )
-        .join(F.broadcast(frequent.withColumnRenamed("gram", "block_key")), "block_key", "left_anti")
+        .join(frequent.withColumnRenamed("gram", "block_key"), "block_key", "left_anti")
         .select("entity_id", "tokens", *BLOCK)
     )
 
@@ -144,8 +152,10 @@ def memberships(
     :func:`frequent_grams`, for callers with several targets."""
     sides = [[], []]
     keyed = [c for c in channels if c != RARE_GRAM]
-    if RARE_GRAM in channels and frequent is None:
-        frequent = frequent_grams(s1, max_doc_freq)
+    if RARE_GRAM in channels:
+        if frequent is None:
+            frequent = frequent_grams(s1, max_doc_freq)
+        frequent = broadcast_if_small(frequent, MAX_GRAMS)
     for side, df in zip(sides, (s1, other)):
         if keyed:
             side.append(key_memberships(df, keyed, empty_keys))

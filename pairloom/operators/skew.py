@@ -35,6 +35,12 @@ def local_table(rows: list[Row], like: DataFrame) -> DataFrame | None:
     return like.sparkSession.createDataFrame(rows, like.schema) if rows else None
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Ask for a broadcast where the rows, counted, are few enough; otherwise
+    leave the join to Spark. ``df`` should be a stored table."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def heavy_keys(many: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame | None:
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.where(F.col("_n") > rows_per_task).select(

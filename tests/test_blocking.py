@@ -131,6 +131,13 @@ def test_rare_gram_channel_against_brute_force(normalized, rows_of):
     assert rows_of(pairs) == expected
 
 
+def test_frequent_grams_past_the_broadcast_bound(normalized, rows_of, monkeypatch):
+    tables = normalized["s1"], normalized["s3"]
+    expected = rows_of(blocking.candidate_pairs(*tables, [RARE_GRAM], max_doc_freq=0.02))
+    monkeypatch.setattr(blocking, "MAX_GRAMS", 3)
+    assert rows_of(blocking.candidate_pairs(*tables, [RARE_GRAM], max_doc_freq=0.02)) == expected
+
+
 @pytest.mark.parametrize(
     "target, expected",
     [
