@@ -70,12 +70,12 @@ def key_memberships(
     blocks = F.array(
         *[F.struct(F.lit(c).alias("channel"), keys[c].alias("block_key")) for c in channels]
     )
+    # Tokens are computed before the explode: once per record, not per key.
     return (
         normalized.select(
-            "entity_id",
-            text.tokens(F.col("name_norm")).alias("tokens"),
-            F.explode(blocks).alias("b"),
+            "entity_id", text.tokens(F.col("name_norm")).alias("tokens"), blocks.alias("blocks")
         )
+        .select("entity_id", "tokens", F.explode("blocks").alias("b"))
         .select("entity_id", "tokens", "b.channel", "b.block_key")
         .where(F.col("block_key").isNotNull())
     )
@@ -96,7 +96,8 @@ def gram_document_frequency(normalized: DataFrame) -> DataFrame:
     row per gram and map task is shuffled. Ids must be unique."""
     distinct = F.array_distinct(text.grams(F.col("name_norm")))
     return (
-        normalized.select(F.explode(distinct).alias("gram"))
+        normalized.select(distinct.alias("grams"))
+        .select(F.explode("grams").alias("gram"))
         .groupBy("gram")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -128,12 +129,18 @@ def frequent_grams(s1: DataFrame, max_doc_freq: float = RARE_GRAM_MAX_DOC_FREQ)
 def gram_memberships(normalized: DataFrame, frequent: DataFrame) -> DataFrame:
     """Rare-gram memberships of either side. A gram that no S1 name has passes
     here and finds no partner in the block join."""
+    name = F.col("name_norm")
     return (
         normalized.select(
             "entity_id",
-            text.tokens(F.col("name_norm")).alias("tokens"),
+            text.tokens(name).alias("tokens"),
+            F.array_distinct(text.grams(name)).alias("grams"),
+        )
+        .select(
+            "entity_id",
+            "tokens",
             F.lit(RARE_GRAM).alias("channel"),
-            F.explode(F.array_distinct(text.grams(F.col("name_norm")))).alias("block_key"),
+            F.explode("grams").alias("block_key"),
         )
         .join(frequent.withColumnRenamed("gram", "block_key"), "block_key", "left_anti")
         .select("entity_id", "tokens", *BLOCK)
