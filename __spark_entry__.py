@@ -63,6 +63,12 @@ def _normalized(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {s: normalize(fixtures.entities(spark, sf_dir, s)) for s in sources}
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Normalized tables written first, as the jobs do: blocking reads them
+    several times."""
+    return {s: stage(df, s) for s, df in _normalized(spark, sf_dir).items()}
+
+
 def _truth_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.true_sets(fixtures.ground_truth(spark, sf_dir))
 
@@ -75,7 +81,7 @@ def _by_target(make: Callable[[dict[str, DataFrame], str], DataFrame]) -> Query:
     """Run ``make`` for both targets and stack the results."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables = _normalized(spark, sf_dir)
+        tables = _stored(spark, sf_dir)
         return features.stack(
             *[make(tables, t).select(F.lit(t).alias("target"), "*") for t in TARGETS]
         )
@@ -149,12 +155,12 @@ def _exact(tables: dict[str, DataFrame], target: str) -> DataFrame:
 
 
 def _exact_source(target: str) -> Query:
-    return lambda spark, sf_dir: _exact(_normalized(spark, sf_dir), target)
+    return lambda spark, sf_dir: _exact(_stored(spark, sf_dir), target)
 
 
 def _stacked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model inputs of both targets, with cosines of letter counts."""
-    tables = _normalized(spark, sf_dir)
+    tables = _stored(spark, sf_dir)
     parts = []
     for t in TARGETS:
         pair_features = features.add_fuzzy_scores(_exact(tables, t))
@@ -242,7 +248,7 @@ def _ground_truth_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _normalized(spark, sf_dir)
+    tables = _stored(spark, sf_dir)
     return features.stack(*[_top(tables, t) for t in TARGETS])
 
 
@@ -254,7 +260,7 @@ def _pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in score that SQL can repeat: shared tokens over the larger
     number of tokens."""
-    tables = _normalized(spark, sf_dir)
+    tables = _stored(spark, sf_dir)
     parts = []
     for t in TARGETS:
         pairs = features.attach_records(_stored_top(tables, t), tables["s1"], tables[t])
