@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -37,6 +35,7 @@ from pairloom.operators.staging import shared_folder, stage  # noqa: E402
 from pairloom.plans.config import JobConfig  # noqa: E402
 from pairloom.plans.infer import infer  # noqa: E402
 from pairloom.plans.train import train  # noqa: E402
+from pairloom.shipping import ship_package  # noqa: E402
 from pairloom.schemas import CANDIDATE_HEADER, FUZZY_SCORES, MATCHING_HEADER  # noqa: E402
 from pairloom.sources import readers, writers  # noqa: E402
 
@@ -46,18 +45,6 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 TARGETS = ["s2", "s3"]
 RULE = {"threshold": 0.5, "margin": 0.25, "singleton_cap": 0.4}
 
-_shipped: set[str] = set()
-
-
-def _ship_package(spark: SparkSession) -> None:
-    """Give the package to the executors, as --py-files does."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        archive = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "pairloom")
-        context.addPyFile(shutil.make_archive(archive, "zip", ROOT, "pairloom"))
-        _shipped.add(context.applicationId)
-
-
 def _normalized(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sources = ["s1", *TARGETS]
     return {s: normalize(fixtures.entities(spark, sf_dir, s)) for s in sources}
@@ -529,7 +516,7 @@ QUERIES: dict[str, Query] = {
 def _shipped_first(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _ship_package(spark)
+        ship_package(spark)
         return query(spark, sf_dir)
 
     return run
@@ -540,9 +527,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["candidate_pairs"](spark, SMOKE_DIR)
 
 
+# The training-data operators and their pipeline, where they are installed.
+LLM_ORACLES: dict[str, str] = {}
+try:
+    import corpus_pipeline  # noqa: E402
+    from pairloom.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "pairloom.llm"):
+        raise
+else:
+    QUERIES |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_ORACLES = llm_queries.ORACLES
+
+
 def queries() -> dict[str, Query]:
     return {name: _shipped_first(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracles()
+    return oracle_queries.oracles() | LLM_ORACLES
