@@ -123,7 +123,7 @@ def range_index(key: Column, cuts: list[str]) -> Column:
     return F.transform(F.array(key), place)[0]
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds few bytes, or one row."""
     for batch in batches:
         start, n = 0, batch.num_rows

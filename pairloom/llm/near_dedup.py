@@ -4,8 +4,8 @@ exact verification, connected components.
 Documents with the same shingle set are folded into one first. In each bucket of
 a band the most connected document leads, and only leader and member are
 compared: a bucket of any size costs one pair per member. What stays open
-afterwards (pairs of one bucket that are in different classes) is compared too,
-except where the distances to the leader already rule it out.
+afterwards (pairs of one bucket that are in different classes) is compared too
+where the differences from the leader leave it possible.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import text_batches, with_keys, written
@@ -90,9 +90,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (a, b) with their exact Jaccard similarity ``sim``. Pairs whose
-    set sizes alone rule out ``least`` are left out."""
+def _verified(
+    pairs: DataFrame, sets: DataFrame, least: float, differences: bool = False
+) -> DataFrame:
+    """``pairs`` (a, b) whose exact Jaccard similarity ``sim`` is at least
+    ``least``; with set sizes and the symmetric difference where asked for. Sizes
+    alone rule some out before the sets are fetched."""
     n = F.size("shingles")
     sizes = sets.select("key", n.alias("n"))
     fitting = (
@@ -105,8 +108,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b"
     ).join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select(
-        "a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("sim")
+    scored = both.withColumn("sim", shared / (F.size("sa") + F.size("sb") - shared))
+    scored = scored.where(F.col("sim") >= least)
+    if not differences:
+        return scored.select("a", "b", "sim")
+    diff = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    return scored.select(
+        "a", "b", "sim", F.size("sa").alias("na"), F.size("sb").alias("nb"), diff.alias("diff")
     )
 
 
@@ -161,14 +169,15 @@ def near_duplicates(
     # A pair of sets below 2 * similarity - 1 cannot matter: by the triangle
     # inequality no member of the leader's class is then linked to the other.
     useful = max(0.0, 2 * similarity - 1)
-    sims = written(_verified(star.distinct(), sets, useful).where(F.col("sim") >= useful), "sims")
+    sims = written(_verified(star.distinct(), sets, useful, differences=True), "sims")
     edges = sims.where(F.col("sim") >= similarity).select("a", "b")
     labels = written(connected_components(edges), "labels")
-    more = written(
-        _open_pairs(led, sims, labels, similarity), "open-pairs"
+    more = _near_pairs(sims, labels, similarity).unionByName(
+        _far_pairs(led, sims, labels, similarity)
     )
+    more = written(more.distinct(), "open-pairs")
     if not more.isEmpty():
-        found = _verified(more, sets, similarity).where(F.col("sim") >= similarity)
+        found = _verified(more, sets, similarity)
         edges = written(edges.unionByName(found.select("a", "b")), "edges")
         labels = written(connected_components(edges), "labels")
     classes = folded.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
@@ -183,42 +192,63 @@ def near_duplicates(
     )
 
 
-def _open_pairs(led: DataFrame, sims: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket, neither of them its leader, in different classes, that
-    the distances to the leader do not rule out: |d(x) - d(y)| <= 1 - similarity,
-    where at least one of them is not linked to the leader."""
-    far = 1 - similarity
-    known = sims.select(
-        F.col("a").alias("leader"), F.col("b").alias("key"), (1 - F.col("sim")).alias("d")
+def _near_pairs(sims: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of two documents led by one leader c that may be linked although
+    one of them, x, is not linked to c.
+
+    With D the difference from c, x and y are linked when |Dx| + |Dy| - 2|Dx & Dy|
+    is at most q (|x| + |y|), q = (1 - s) / (1 + s). As |Dx| > q (|x| + |c|), they
+    share more than t = (|Dy| + q (|c| - |y|)) / 2 elements of Dy. So x holds one
+    of the |Dy| - floor(t) rarest elements of Dy: a pair needs a rare edit in
+    common, and copies with edits of their own never meet.
+    """
+    q = (1 - similarity) / (1 + similarity)
+    loose = F.col("sim") < similarity
+    open_leaders = sims.where(loose).select("a").distinct()
+    edits = sims.join(open_leaders, "a", "left_semi").select(
+        "a", "b", loose.alias("loose"), F.size("diff").alias("size"),
+        # A little more than needed, against rounding.
+        (F.size("diff") - F.floor((F.size("diff") + q * (F.col("na") - F.col("nb"))) / 2 - 1e-9)).alias("first"),
+        F.explode("diff").alias("e"),
     )
+    edits = written(edits, "edits")
+    often = edits.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rarity = Window.partitionBy("a", "b").orderBy("often", "e")
+    # Elements seen once have no partner but count in the order.
+    ranked = edits.join(often, ["a", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = ranked.withColumn("nth", F.row_number().over(rarity)).where("often > 1")
+    ranked = written(ranked.select("a", "b", "loose", "e", (F.col("nth") <= F.col("first")).alias("rare")), "rare-edits")
+    classes = labels.select(F.col("node").alias("b"), "label")
+    ranked = ranked.join(classes, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    x, y = ranked.where("loose").alias("x"), ranked.where("rare").alias("y")
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")))
+    return met.select(
+        F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
+    ).distinct()
+
+
+def _far_pairs(led: DataFrame, sims: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket with a member so far from the leader that it can only be
+    linked to members that are not linked to the leader either."""
+    known = sims.select(F.col("a").alias("leader"), F.col("b").alias("key"), "sim")
     classes = labels.select(F.col("node").alias("key"), "label")
-    # Members without a known distance are over 2 * far from the leader: they
-    # can only be linked to others that are not linked to it.
-    placed = (
+    loose = (
         led.where("key <> leader")
         .join(known, ["leader", "key"], "left")
+        .where(F.col("sim").isNull() | (F.col("sim") < similarity))
         .join(classes, "key", "left")
-        .select(
-            "bucket", "key", "n", F.coalesce("d", F.lit(1.0)).alias("d"),
-            F.col("d").isNull().alias("beyond"), F.coalesce("label", "key").alias("label"),
-        )
-    )
-    loose = placed.where(F.col("d") > far)
-    x, y = loose.alias("x"), placed.alias("y")
-    near = F.col("x.beyond") & (F.col("y.d") > far) | F.col("y.beyond") | (
-        F.abs(F.col("x.d") - F.col("y.d")) <= far
+        .select("bucket", "key", "n", F.col("sim").isNull().alias("far"), F.coalesce("label", "key").alias("label"))
     )
-    both_loose = F.col("y.d") > far
+    x, y = loose.where("far").alias("x"), loose.alias("y")
     open_pair = (
         (F.col("x.label") != F.col("y.label"))
-        & near
         & (F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n"))
-        & (~both_loose | (F.col("x.key") < F.col("y.key")))
+        & (~F.col("y.far") | (F.col("x.key") < F.col("y.key")))
     )
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & open_pair)
     return pairs.select(
         F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
-    ).distinct()
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pairloom.llm.minhash import mix
 LENGTH = 100
 TRIGGER = 32
 # Positions of one pass over a text; the low bits of a sort key hold them.
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _PLACE_BITS = np.uint64(24)
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -36,6 +36,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 # Triggers above this share of a sample are dealt over several tasks.
 HEAVY_SHARE = 1 / 4_000
 SAMPLE_SHARE = 1 / 64
+# Phrases of one trigger that one task compares.
+CROWD = 32_768
 
 
 class Rolling:
@@ -140,30 +142,113 @@ def _phrases(length: int, trigger: int):
     return parse
 
 
-def _strings(length: int, trigger: int):
-    """The strings of the listed triggers, with 128 bits of hash each."""
+_CONTEXT_SCHEMA = "trigger bigint, key bigint, at int, crowded boolean, lead int, content binary"
+
+
+def _contexts(length: int, trigger: int):
+    """The bytes of the listed phrases."""
+    reach = length - trigger
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            keys = batch["key"].to_pylist()
-            for key, text, ats in zip(keys, batch["text"].to_pylist(), batch["ats"].to_pylist()):
-                data, starts, ends = _buffer([text])
-                wanted = np.sort(np.array(ats, dtype=np.int64))
-                for rolling, lo, s, trig, _ in _slices(data, starts, ends, length, trigger):
-                    place = np.minimum(np.searchsorted(wanted, trig + lo), len(wanted) - 1)
-                    s = s[wanted[place] == trig + lo]
-                    if not len(s):
-                        continue
-                    other = Rolling(data[lo : lo + len(rolling.sums) - 1], _BASES[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(rolling.of(s, s + length).view(np.int64)),
-                            pa.array(other.of(s, s + length).view(np.int64)),
-                            pa.array(np.full(len(s), key)),
-                            pa.array((s + lo).astype(np.int32)),
-                        ],
-                        ["h1", "h2", "key", "at"],
-                    )
+            out: list[list] = [[] for _ in range(6)]
+            for key, text, listed in zip(*(batch[c].to_pylist() for c in ("key", "text", "listed"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                for one in listed:
+                    at = one["at"]
+                    lo = max(0, at - reach)
+                    row = (one["trigger"], key, at, one["crowded"], at - lo, raw[lo : at + length])
+                    for column, value in zip(out, row):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(out, kinds)],
+                ["trigger", "key", "at", "crowded", "lead", "content"],
+            )
+
+    return cut
+
+
+def _own_strings(contents: list[bytes], leads: np.ndarray, length: int, trigger: int):
+    """The strings of each phrase whose trigger is the phrase's own: (phrase
+    number, start in the phrase, two hashes)."""
+    ends = np.cumsum([len(c) for c in contents])
+    starts = ends - [len(c) for c in contents]
+    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+    parts = []
+    for rolling, lo, s, trig, of in _slices(data, starts, ends, length, trigger):
+        own = trig + lo == starts[of] + leads[of]
+        s, of = s[own], of[own]
+        other = Rolling(data[lo : lo + len(rolling.sums) - 1], _BASES[1])
+        parts.append((of, s + lo - starts[of], rolling.of(s, s + length), other.of(s, s + length)))
+    if not parts:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, _U),) * 2
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _later_strings(length: int, trigger: int):
+    """Rows sorted by trigger and place to the stretches of strings that an
+    earlier phrase of the same trigger holds too. The strings of a trigger are
+    put in order by content, then by place: the first of equal ones stays."""
+
+    def stretches(rows: list[np.ndarray]) -> pa.RecordBatch:
+        trig, key, at, lead, content = rows
+        of, start, h1, h2 = _own_strings(list(content), lead, length, trigger)
+        order = np.lexsort((of, h2, h1, trig[of]))
+        same = np.zeros(len(order), dtype=bool)
+        a, b = order[1:], order[:-1]
+        same[a] = (trig[of[a]] == trig[of[b]]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
+        keep = np.lexsort((start, of))
+        keep = keep[same[keep]]
+        of, start = of[keep], start[keep]
+        if not len(of):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["key", "start", "end"])
+        begins = np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))[: len(of)]
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(of)) - 1
+        base = (at - lead)[of[first]].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(key[of[first]]),
+                pa.array(base + start[first]),
+                pa.array(base + start[last] + length),
+            ],
+            ["key", "start", "end"],
+        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        names = ("trigger", "key", "at", "lead", "content")
+        for batch in text_batches(batches):
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            # The last trigger may go on in the next batch.
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield stretches([c[:cut] for c in rows])
+            held = [c[cut:] for c in rows]
+        if held is not None:
+            yield stretches(held)
+
+    return work
+
+
+def _strings(length: int, trigger: int):
+    """All strings of crowded phrases, with 128 bits of hash each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, 1 << 20):
+            lead = batch["lead"].to_numpy()
+            of, start, h1, h2 = _own_strings(batch["content"].to_pylist(), lead, length, trigger)
+            at = batch["at"].to_numpy()[of] - lead[of] + start
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    pa.array(batch["key"].to_numpy()[of]), pa.array(at.astype(np.int32)),
+                ],
+                ["h1", "h2", "key", "at"],
+            )
 
     return cut
 
@@ -241,18 +326,41 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
         "key", (F.col("at") - reach).alias("start"), (F.col("at") + length).alias("end")
     )
     # Phrases that share their trigger with another phrase.
-    differing = firsts.where("n is null or m < n").select("first.key", "first.at")
-    listed = differing.groupBy("key").agg(F.collect_set("at").alias("ats"))
+    differing = firsts.where("n is null or m < n").select("trigger", "first.key", "first.at")
+    sizes = differing.groupBy("trigger").agg(F.count(F.lit(1)).alias("size"))
+    crowd = sizes.where(F.col("size") > CROWD).select("trigger", F.lit(True).alias("crowded"))
+    alone = sizes.where("size = 1").select("trigger")
+    differing = (
+        differing.join(alone, "trigger", "left_anti")
+        .join(crowd, "trigger", "left")
+        .withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    )
+    listed = differing.groupBy("key").agg(
+        F.collect_set(F.struct("at", "trigger", "crowded")).alias("listed")
+    )
+    contexts = written(
+        keyed.select("key", "text").join(listed, "key").mapInArrow(
+            _contexts(length, trigger), _CONTEXT_SCHEMA
+        ),
+        "contexts",
+    )
+    few = contexts.where("not crowded").repartition("trigger").dropDuplicates(["trigger", "key", "at"])
+    few = few.sortWithinPartitions("trigger", "key", "at")
+    parts = few.select("trigger", "key", "at", "lead", "content").mapInArrow(
+        _later_strings(length, trigger), "key bigint, start bigint, end bigint"
+    )
+    # Triggers with very many phrases: their strings are compared one by one,
+    # by joins that no group can overload.
     strings = written(
-        keyed.select("key", "text").dropDuplicates(["key"]).join(listed, "key").mapInArrow(
+        contexts.where("crowded").mapInArrow(
             _strings(length, trigger), "h1 bigint, h2 bigint, key bigint, at int"
         ),
         "strings",
     )
     order = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m"))
     later = strings.join(order.where("m > 1"), ["h1", "h2"]).where(place != F.col("first"))
-    parts = later.select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(parts)
+    more = later.select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return whole.unionByName(parts).unionByName(more)
 
 
 def remove_repeats(
