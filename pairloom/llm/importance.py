@@ -30,6 +30,8 @@ SMOOTHING = 0.5
 # Scale of the Gumbel noise beside log weights: 1 samples in proportion to the
 # weights, 0 takes the largest.
 TEMPERATURE = 0.05
+# Added to the number of features of a text: short texts say little.
+SHRINK = 10
 _CACHE = 400_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _mean(log_weight: float, n: int) -> float:
-    return log_weight / max(n, 1)
+    return log_weight / (n + SHRINK)
 
 
 def _gumbel(key: Column, seed: int) -> Column:
@@ -186,11 +188,12 @@ def quality_scores(
     seed: int = 5,
 ) -> DataFrame:
     """One row per row of ``docs``: ``row``, ``log_weight`` (of the whole text),
-    ``score`` (mean log weight per feature) and ``kept``.
+    ``score`` (log weight over the number of features plus ``SHRINK``) and
+    ``kept``.
 
     k documents are kept, k being the number of documents whose score passes the
     fitted cutoff: those of largest score plus Gumbel noise times ``temperature``
-    over the number of features. Equal sums go to the smaller key. Texts without
+    over the same size. Equal sums go to the smaller key. Texts without
     words have score 0. Rows that share id and text are one document; null ids
     have no label. Without labels everything is kept; an empty table gives an
     empty result. Reruns agree.
@@ -200,8 +203,9 @@ def quality_scores(
     raw = keyed.select("key", "text").mapInArrow(
         _scorer(model.log_ratio), "key bigint, log_weight double, n_features bigint"
     )
-    score = F.col("log_weight") / F.greatest("n_features", F.lit(1))
-    noise = F.lit(temperature) * _gumbel(F.col("key"), seed) / F.greatest("n_features", F.lit(1))
+    size = F.col("n_features") + F.lit(SHRINK)
+    score = F.col("log_weight") / size
+    noise = F.lit(temperature) * _gumbel(F.col("key"), seed) / size
     scored = written(
         raw.withColumn("score", score).withColumn("drawn", F.col("score") + noise).dropDuplicates(["key"]),
         "weights",
