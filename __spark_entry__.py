@@ -112,6 +112,10 @@ def _channel_pairs(channels: list[str], empty_keys: str = "keep") -> Query:
 ALL_CHANNELS = [*blocking.KEY_CHANNELS, blocking.RARE_GRAM]
 
 
+def _long_pairs(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_pairs", F.col("n_pairs").cast("long"))
+
+
 def _gram_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _normalized(spark, sf_dir)
     return features.stack(*[blocking.gram_rows(t) for t in tables.values()])
@@ -462,9 +466,11 @@ QUERIES: dict[str, Query] = {
     "block_house_name": _channel_pairs([blocking.HOUSE_NAME]),
     "block_union": _channel_pairs(blocking.KEY_CHANNELS),
     "block_union_count": _by_target(
-        lambda tables, t: blocking.candidate_count(tables["s1"], tables[t])
+        lambda tables, t: _long_pairs(blocking.candidate_count(tables["s1"], tables[t]))
+    ),
+    "block_sizes": _by_target(
+        lambda tables, t: _long_pairs(blocking.block_sizes(tables["s1"], tables[t]))
     ),
-    "block_sizes": _by_target(lambda tables, t: blocking.block_sizes(tables["s1"], tables[t])),
     "gram_explode": _gram_explode,
     "entity_total": lambda spark, sf_dir: blocking.entity_total(_normalized(spark, sf_dir)["s1"]),
     "gram_df": lambda spark, sf_dir: blocking.gram_document_frequency(

@@ -91,15 +91,13 @@ def entity_total(normalized: DataFrame) -> DataFrame:
 
 
 def gram_document_frequency(normalized: DataFrame) -> DataFrame:
-    """``(gram, df)``: entities whose name contains the gram. Grams are made
-    distinct within a row first, so the count combines map-side and only one
-    row per gram and map task is shuffled. Ids must be unique."""
+    """``(gram, df)``: distinct entities whose name contains the gram."""
     distinct = F.array_distinct(text.grams(F.col("name_norm")))
     return (
-        normalized.select(distinct.alias("grams"))
-        .select(F.explode("grams").alias("gram"))
+        normalized.select("entity_id", distinct.alias("grams"))
+        .select("entity_id", F.explode("grams").alias("gram"))
         .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count_distinct("entity_id").alias("df"))
     )
 
 
@@ -193,6 +191,11 @@ def candidate_pairs(
     return pairs.select("s1_id", "other_id").distinct()
 
 
+def _product(a: str, b: str) -> Column:
+    """Of two counts, as a decimal: pairs of large blocks pass 64 bits."""
+    return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def block_sizes(
     s1: DataFrame,
     other: DataFrame,
@@ -204,7 +207,7 @@ def block_sizes(
     left, right = memberships(s1, other, channels, empty_keys)
     n_s1 = left.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_s1"))
     n_other = right.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n_other"))
-    return n_s1.join(n_other, BLOCK).withColumn("n_pairs", F.col("n_s1") * F.col("n_other"))
+    return n_s1.join(n_other, BLOCK).withColumn("n_pairs", _product("n_s1", "n_other"))
 
 
 def candidate_count(s1: DataFrame, other: DataFrame, empty_keys: str = "keep") -> DataFrame:
@@ -242,6 +245,9 @@ def candidate_count(s1: DataFrame, other: DataFrame, empty_keys: str = "keep") -
         )
 
     both = grouped(s1, "n_s1").join(grouped(other, "n_other"), ["subset", "sign", "key"])
+    pairs = _product("n_s1", "n_other")
     return both.agg(
-        F.coalesce(F.sum(F.col("sign") * F.col("n_s1") * F.col("n_other")), F.lit(0)).alias("n_pairs")
+        F.coalesce(
+            F.sum(F.when(F.col("sign") > 0, pairs).otherwise(-pairs)), F.lit(0).cast("decimal(38,0)")
+        ).alias("n_pairs")
     )

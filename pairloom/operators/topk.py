@@ -129,8 +129,9 @@ def _subsets(tokens: Column) -> Column:
 
 
 def _smallest_ids(rows: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Rows of the ``k`` smallest distinct ids: copies of an id count once."""
     first = Window.partitionBy(*group).orderBy("other_id")
-    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    return rows.withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= k).drop("_n")
 
 
 def _entries(tokens: str, max_tokens: int, if_named: str, if_nameless: list[str]) -> Column:

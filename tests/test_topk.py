@@ -131,3 +131,21 @@ def test_rank_limit_runs_before_the_shuffle(normalized):
     plan = topk.top_candidates(normalized["s1"], normalized["s2"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_repeated_ids_do_not_depend_on_the_block_size(spark):
+    schema = "entity_id string, name_norm string, name_core string, address_norm string, house_number string, postal_code string, country string"
+    row = lambda i, n: (i, n, n, None, "", "", "US")
+    s1 = spark.createDataFrame([row("S1-1", "a b")], schema)
+    other = spark.createDataFrame([row("S2-1", "a b")] * 5 + [row("S2-2", "a b"), row("S2-3", "a b")], schema)
+    frequent = spark.createDataFrame([], "gram string")
+    results = [
+        {r.other_id for r in topk.top_candidates(s1, other, k=2, frequent=frequent, hot_block_rows=n).collect()}
+        for n in (1, 4, 512, 10**9)
+    ]
+    assert results == [{"S2-1", "S2-2"}] * 4
+
+
+def test_counts_past_64_bits(spark):
+    big = spark.createDataFrame([(4 * 10**9, 4 * 10**9)], "a bigint, b bigint")
+    assert big.select(blocking._product("a", "b")).first()[0] == 16 * 10**18
