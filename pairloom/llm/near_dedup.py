@@ -173,7 +173,7 @@ def near_duplicates(
     edges = sims.where(F.col("sim") >= similarity).select("a", "b")
     labels = written(connected_components(edges), "labels")
     more = _near_pairs(sims, labels, similarity).unionByName(
-        _far_pairs(led, sims, labels, similarity)
+        _far_pairs(led, sims, sets, labels, similarity)
     )
     more = written(more.distinct(), "open-pairs")
     if not more.isEmpty():
@@ -196,61 +196,92 @@ def _near_pairs(sims: DataFrame, labels: DataFrame, similarity: float) -> DataFr
     """Pairs of two documents led by one leader c that may be linked although
     one of them, x, is not linked to c.
 
-    With D the difference from c, x and y are linked when |Dx| + |Dy| - 2|Dx & Dy|
-    is at most q (|x| + |y|), q = (1 - s) / (1 + s). As |Dx| > q (|x| + |c|), they
-    share more than t = (|Dy| + q (|c| - |y|)) / 2 elements of Dy. So x holds one
-    of the |Dy| - floor(t) rarest elements of Dy: a pair needs a rare edit in
-    common, and copies with edits of their own never meet.
+    With D the difference from c, |Dx| > q (|x| + |c|), q = (1 - s) / (1 + s). So
+    x and y share more than t = (|Dy| + q (|c| - |y|)) / 2 elements of Dy, and x
+    holds one of the |Dy| - floor(t) rarest: a pair needs a rare edit in common,
+    and copies with edits of their own never meet.
     """
     q = (1 - similarity) / (1 + similarity)
     loose = F.col("sim") < similarity
     open_leaders = sims.where(loose).select("a").distinct()
     edits = sims.join(open_leaders, "a", "left_semi").select(
-        "a", "b", loose.alias("loose"), F.size("diff").alias("size"),
+        "a", "b", loose.alias("loose"), F.size("diff").alias("size"), F.col("nb").alias("n"),
         # A little more than needed, against rounding.
         (F.size("diff") - F.floor((F.size("diff") + q * (F.col("na") - F.col("nb"))) / 2 - 1e-9)).alias("first"),
         F.explode("diff").alias("e"),
     )
+    return _sharing_rare(edits, labels, similarity)
+
+
+def _far_pairs(
+    led: DataFrame, sims: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float
+) -> DataFrame:
+    """Pairs with a member so far from its leader that it can only be linked to
+    members of a bucket that are not linked to the leader either.
+
+    They are told apart by whole sets, as differences from an empty leader: of a
+    set of n, a linked one shares at least s n elements, hence one of the
+    n - s n + 1 rarest. Members that have only a common passage never meet.
+    """
+    known = sims.select(F.col("a").alias("leader"), F.col("b").alias("key"), "sim")
+    apart = (
+        led.where("key <> leader")
+        .join(known, ["leader", "key"], "left")
+        .where(F.col("sim").isNull() | (F.col("sim") < similarity))
+        .select("bucket", "key", F.col("sim").isNull().alias("far"))
+    )
+    open_buckets = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("any"))
+    open_buckets = open_buckets.where("m > 1 and any").select("bucket")
+    concerned = apart.join(open_buckets, "bucket", "left_semi").groupBy("key").agg(F.max("far").alias("loose"))
+    n = F.size("shingles")
+    elements = sets.join(concerned, "key").select(
+        F.lit(0).cast("long").alias("a"), F.col("key").alias("b"), "loose",
+        n.alias("size"), n.alias("n"),
+        (n - F.ceil(similarity * n - 1e-9) + 1).alias("first"),
+        F.explode("shingles").alias("e"),
+    )
+    return _sharing_rare(elements, labels, similarity)
+
+
+def _sharing_rare(edits: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of two classes, one of them ``loose``, that share one of the
+    ``first`` rarest elements of the other and may be linked.
+
+    Linked sets share at least m = (|Dx| + |Dy| - q (|x| + |y|)) / 2 elements. The
+    rarest that they share leaves m - 1 behind it on either side, which bounds
+    its place in both orders.
+    """
+    q = (1 - similarity) / (1 + similarity)
     edits = written(edits, "edits")
     often = edits.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     rarity = Window.partitionBy("a", "b").orderBy("often", "e")
     # Elements seen once have no partner but count in the order.
     ranked = edits.join(often, ["a", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     ranked = ranked.withColumn("nth", F.row_number().over(rarity)).where("often > 1")
-    ranked = written(ranked.select("a", "b", "loose", "e", (F.col("nth") <= F.col("first")).alias("rare")), "rare-edits")
+    ranked = ranked.withColumn("rare", F.col("nth") <= F.col("first")).where("loose or rare")
     classes = labels.select(F.col("node").alias("b"), "label")
     ranked = ranked.join(classes, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    ranked = written(
+        ranked.select("a", "b", "loose", "rare", "size", "n", "e", "nth", "label"), "rare-edits"
+    )
     x, y = ranked.where("loose").alias("x"), ranked.where("rare").alias("y")
-    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")))
+    least = (F.col("x.size") + F.col("y.size") - q * (F.col("x.n") + F.col("y.n"))) / 2 - 1e-9
+    met = x.join(
+        y,
+        (F.col("x.a") == F.col("y.a"))
+        & (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.label") != F.col("y.label"))
+        # Of two loose ones either holds a rare element of the other.
+        & (~F.col("y.loose") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b"))))
+        & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+        & (F.col("x.size") - F.col("x.nth") + 1 >= least)
+        & (F.col("y.size") - F.col("y.nth") + 1 >= least),
+    )
     return met.select(
         F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")
     ).distinct()
 
 
-def _far_pairs(led: DataFrame, sims: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket with a member so far from the leader that it can only be
-    linked to members that are not linked to the leader either."""
-    known = sims.select(F.col("a").alias("leader"), F.col("b").alias("key"), "sim")
-    classes = labels.select(F.col("node").alias("key"), "label")
-    loose = (
-        led.where("key <> leader")
-        .join(known, ["leader", "key"], "left")
-        .where(F.col("sim").isNull() | (F.col("sim") < similarity))
-        .join(classes, "key", "left")
-        .select("bucket", "key", "n", F.col("sim").isNull().alias("far"), F.coalesce("label", "key").alias("label"))
-    )
-    x, y = loose.where("far").alias("x"), loose.alias("y")
-    open_pair = (
-        (F.col("x.label") != F.col("y.label"))
-        & (F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n"))
-        & (~F.col("y.far") | (F.col("x.key") < F.col("y.key")))
-    )
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & open_pair)
-    return pairs.select(
-        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
-    )
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
     return near_duplicates(docs, id_col, text_col).where("kept").select("row.*")
