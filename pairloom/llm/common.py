@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +22,42 @@ SAMPLE_PER_RANGE = 30
 MAX_RANGES = 4_096
 MIN_RANGES = 256
 
-_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# Filters the large side of a join by a Bloom filter of the other side's keys
+# before it is shuffled. The filter is 1 MB whatever the number of keys: past
+# some millions it lets more rows through, and the join drops them.
+KEY_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1000t",
+}
 _SEPARATOR = "|"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def written(df: DataFrame, label: str, extra: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once in the shared folder and read it back. Its lineage ends
     there, a lost executor costs nothing, and the shuffle files of the job are
-    freed when it ends."""
+    freed when it ends. ``extra`` settings hold for the job."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with settings(spark, _FREE_SHUFFLES | (extra or {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE_SHUFFLES)
-        else:
-            spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

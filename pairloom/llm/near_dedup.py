@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import text_batches, with_keys, written
+from pairloom.llm.common import KEY_FILTER, text_batches, with_keys, written
 from pairloom.llm.components import connected_components
 from pairloom.llm.minhash import DartMinHash, mix
 
@@ -158,12 +158,15 @@ def near_duplicates(
         F.max(F.struct("meets", F.negative("key").alias("minus"))).alias("top")
     ).select("bucket", F.negative("top.minus").alias("leader"))
     led = written(members.join(leaders, "bucket").select("bucket", "key", "n", "leader"), "led")
-    involved = led.select("key").distinct()
+    # Spark derives a key filter only from a side that has a condition; n is
+    # never 0 here.
+    involved = led.where("n > 0").select("key")
     sets = written(
         keyed.select("key", "text").join(involved, "key", "left_semi").mapInArrow(
             _shingles, "key bigint, shingles array<bigint>"
         ).dropDuplicates(["key"]),
         "shingles",
+        KEY_FILTER,
     )
     star = led.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
     # A pair of sets below 2 * similarity - 1 cannot matter: by the triangle
