@@ -139,8 +139,11 @@ def near_duplicates(
         "signatures",
     )
     content = ["n", "d1", "d2"]
-    # One document per distinct shingle set; copies fold map-side.
-    reps = signed.where("n > 0").groupBy(*content).agg(F.min("key").alias("rep"))
+    # One document per distinct shingle set; copies fold map-side. Written, so
+    # that the copies of one text can be split in the join.
+    reps = written(
+        signed.where("n > 0").groupBy(*content).agg(F.min("key").alias("rep")), "representatives"
+    )
     folded = written(
         signed.join(reps, content, "left").select(
             "key", F.coalesce("rep", "key").alias("rep"), "n",
@@ -187,11 +190,19 @@ def near_duplicates(
         "key", F.coalesce("label", "rep").alias("class_key")
     )
     classes = classes.dropDuplicates(["key"])
-    names = keyed.select(F.col("key").alias("class_key"), F.col("row").getField(id_col).alias("class_id"))
-    names = names.dropDuplicates(["class_key"])
-    joined = keyed.select("key", "row").join(classes, "key").join(names, "class_key")
-    return joined.select(
-        "row", "class_key", "class_id", (F.col("key") == F.col("class_key")).alias("kept")
+    own_id = F.col("row").getField(id_col)
+    joined = keyed.select("key", "row").join(classes, "key")
+    # Ids of the documents that stand for others; written, so that a large class
+    # can be split in the join.
+    heads = classes.where("key <> class_key").select("class_key").distinct()
+    names = keyed.select(F.col("key").alias("class_key"), own_id.alias("head_id"))
+    names = written(names.join(heads, "class_key", "left_semi").dropDuplicates(["class_key"]), "heads")
+    kept = F.col("key") == F.col("class_key")
+    return joined.join(names, "class_key", "left").select(
+        "row",
+        "class_key",
+        F.when(kept, own_id).otherwise(F.col("head_id")).alias("class_id"),
+        kept.alias("kept"),
     )
 
 
