@@ -30,11 +30,12 @@ from pairloom.operators import (  # noqa: E402
     truth,
     vectors,
 )
-from pairloom.operators.normalize import normalize, row_counts  # noqa: E402
+from pairloom.operators.normalize import cap_rows, normalize, row_counts  # noqa: E402
 from pairloom.operators.staging import shared_folder, stage  # noqa: E402
 from pairloom.plans.config import JobConfig  # noqa: E402
 from pairloom.plans.infer import infer  # noqa: E402
 from pairloom.plans.train import train  # noqa: E402
+from pairloom.plans.validate import validate  # noqa: E402
 from pairloom.shipping import ship_package  # noqa: E402
 from pairloom.schemas import CANDIDATE_HEADER, FUZZY_SCORES, MATCHING_HEADER  # noqa: E402
 from pairloom.sources import readers, writers  # noqa: E402
@@ -371,6 +372,58 @@ def _validate_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_examples(quality.findings(outside, "matching_results", quality.WARNING))
 
 
+def _one_file(lines: DataFrame, path: str) -> str:
+    """``value`` in the order of ``line_no`` as a folder with one text file."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
+def _validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over files: one with faults sown into its rows, and one more for
+    each rule about whole files."""
+    folder, paths = _new_folder(spark), _entity_files(spark, sf_dir)
+    body = _submission(spark, sf_dir)[0].where("line_no > 1").select("line_no", "value")
+    gt = fixtures.ground_truth(spark, sf_dir)
+    listed = gt.select(
+        F.lit(2).alias("line_no"),
+        F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("value"),
+    )
+
+    def file(name: str, header: str, rows: DataFrame) -> str:
+        first = spark.createDataFrame([(1, header)], "line_no long, value string")
+        return _one_file(first.unionByName(rows), f"{folder}/{name}")
+
+    good, stray_byte = "\t".join(MATCHING_HEADER), F.unhex(F.lit("E9")).cast("string")
+    matching = file("matching_results", good, body)
+    candidates = file("candidates", "\t".join(CANDIDATE_HEADER), listed)
+    broken = {
+        "comma": file("comma", ",".join(MATCHING_HEADER), body),
+        "renamed": file("renamed", good.upper() + "x", body),
+        "blank": _one_file(body.where("line_no < 0"), f"{folder}/blank"),
+        "absent": f"{folder}/absent",
+        "latin": file("latin", good, body.withColumn("value", F.concat("value", stray_byte))),
+    }
+    targets = [paths[t] for t in TARGETS]
+    found = [validate(spark, matching, paths["s1"], candidates, targets, check_ids=True)]
+    found += [
+        # The warning that ids are not checked is shown once.
+        validate(spark, path, paths["s1"]).where(
+            F.lit(name == "comma") | (F.col("rule") != "ids_not_checked")
+        )
+        for name, path in broken.items()
+    ]
+    name = F.regexp_extract("file", "([a-z0-9_]+)$", 1)
+    return _joined_examples(features.stack(*found)).withColumn("file", name)
+
+
+def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoke-run cap, the feature of this query."""
+    tables = {s: fixtures.entities(spark, sf_dir, s) for s in ("s1", *TARGETS)}
+    return features.stack(
+        *[cap_rows(df, 100).select(F.lit(s).alias("table_name"), "*") for s, df in tables.items()]
+    )
+
+
 def _validate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.list_statistics(_submission(spark, sf_dir)[1])
 
@@ -516,6 +569,8 @@ QUERIES: dict[str, Query] = {
     "validate_matching": _validate_matching,
     "validate_subset": _validate_subset,
     "validate_statistics": _validate_statistics,
+    "validate_files": _validate_files,
+    "sample_rows": _sample_rows,
 }
 
 

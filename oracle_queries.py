@@ -1,7 +1,33 @@
 """SQL counterparts of the registered queries, for checking their results."""
 
 from pairloom import fixtures
-from pairloom.operators.decision import MARGINS, SINGLETON_CAPS, THRESHOLDS
+
+# The tuning grid, stated here by itself.
+SINGLETON_CAPS = [
+    0.3,
+    0.35,
+    0.39999999999999997,
+    0.44999999999999996,
+    0.49999999999999994,
+    0.5499999999999999,
+    0.5999999999999999,
+    0.6499999999999999,
+    0.7,
+    0.7499999999999999,
+]
+THRESHOLDS = [
+    0.4,
+    0.45,
+    0.5,
+    0.55,
+    0.6,
+    0.6499999999999999,
+    0.7,
+    0.75,
+    0.7999999999999999,
+    0.8499999999999999,
+]
+MARGINS = [0.0, 0.05, 0.1, 0.15000000000000002, 0.2, 0.25]
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -267,6 +293,17 @@ def _findings(table: str, severity: str) -> str:
     )
 
 
+# Findings about whole files: one deliberately broken file per rule.
+_FILE_FINDINGS = [
+    ("s1", "ids_not_checked", "warning"),
+    ("comma", "comma_separated", "error"),
+    ("renamed", "wrong_header", "error"),
+    ("blank", "empty_file", "error"),
+    ("absent", "file_not_found", "error"),
+    ("latin", "not_utf8", "error"),
+]
+
+
 def _id_lists(pairs: str, column: str) -> str:
     return (
         f"SELECT entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT other_id, ',' "
@@ -313,6 +350,11 @@ def oracles() -> dict[str, str]:
             "SELECT s1_id, other_id, round(coalesce(cosine_sim, 0.0), 6) AS cosine_sim "
             "FROM (SELECT s1_id, other_id FROM {t}_top) LEFT JOIN {t}_near USING (s1_id, other_id)"
         ),
+        "sample_rows": " UNION ALL ".join(
+            f"(SELECT '{s}' AS table_name, entity_id, business_name, business_address, country "
+            f"FROM {s} ORDER BY entity_id LIMIT 100)"
+            for s in ("s1", "s2", "s3")
+        ),
         "ground_truth_pairs": "SELECT s1_id, other_id FROM gt_pairs",
         "ground_truth_sets": (
             "SELECT s1_id, coalesce(string_agg(other_id, ',' ORDER BY other_id), '') AS matched, "
@@ -342,6 +384,15 @@ def oracles() -> dict[str, str]:
             "SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(ids) = 0) AS n_empty, "
             "count(*) FILTER (WHERE len(ids) > 0) AS n_nonempty FROM rows"
         ),
+        "validate_files": (
+            _findings("offending", "error")
+            + " UNION ALL "
+            + _findings("outside", "warning")
+            + "".join(
+                f" UNION ALL SELECT '{file}', '{rule}', '{severity}', CAST(1 AS BIGINT), ''"
+                for file, rule, severity in _FILE_FINDINGS
+            )
+        ),
         "block_sizes": _tagged(_block_sizes()),
         "read_entity_files": " UNION ALL ".join(f"SELECT * FROM {s}" for s in ("s1", "s2", "s3")),
         "read_truth_file": (

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal-form words and patterns the results depend on.
-LEGAL_FORMS = "inc incorporated ltd limited llc corp corporation pvt private co"
+LEGAL_FORMS = r"\b(inc|incorporated|ltd|limited|llc|corp|corporation|pvt|private|co)\b"
 KEPT_CHARACTERS = "[^a-z0-9 ]"
 LEADING_DIGITS = r"^[\t\n\f\r ]*([0-9]+)"
 POSTAL_DIGITS = "([0-9]{5,6})"
@@ -26,8 +26,7 @@ def name_norm(name: Column) -> Column:
 
 def name_core(normalized_name: Column) -> Column:
     """A normalized name without its legal-form words."""
-    words = "|".join(LEGAL_FORMS.split())
-    return F.trim(F.regexp_replace(normalized_name, rf"\b({words})\b", ""))
+    return F.trim(F.regexp_replace(normalized_name, LEGAL_FORMS, ""))
 
 
 def address_norm(address: Column) -> Column:

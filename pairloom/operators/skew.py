@@ -27,8 +27,8 @@ def _splits(n: Column, per_task: int) -> Column:
     return F.least(F.ceil(n / F.lit(per_task)), F.lit(MAX_SPLITS)).cast("int")
 
 
-def bounded_rows(df: DataFrame, order: Column) -> list[Row]:
-    return df.orderBy(order).limit(MAX_HEAVY_KEYS).collect()
+def bounded_rows(df: DataFrame, *order: Column) -> list[Row]:
+    return df.orderBy(*order).limit(MAX_HEAVY_KEYS).collect()
 
 
 def local_table(rows: list[Row], like: DataFrame) -> DataFrame | None:
@@ -106,12 +106,14 @@ def heavy_blocks(
             F.greatest("_w", "_v").alias("_width"),
         )
     )
-    rows = bounded_rows(heavy, F.desc("_pairs"))
+    # Hot blocks first: those beyond the list are told by a join, calm ones
+    # beyond it are joined unsplit.
+    rows = bounded_rows(heavy, F.desc("_hot"), F.desc("_pairs"))
     hot_blocks = [r for r in rows if r["_hot"]]
     most_rows = max((r["_n"] for r in hot_blocks), default=0)
     widest = max((r["_width"] for r in hot_blocks), default=0)
     listed, more_hot = local_table(hot_blocks, heavy), None
-    if listed is not None and len(rows) == MAX_HEAVY_KEYS:
+    if len(hot_blocks) == MAX_HEAVY_KEYS:
         more_hot = stage(
             heavy.where("_hot").join(F.broadcast(listed.select(*keys)), keys, "left_anti"),
             "hot-blocks",

@@ -21,6 +21,8 @@ CHEAP = [
     "decision_grid",
     "validate_matching",
     "validate_subset",
+    "validate_files",
+    "sample_rows",
 ]
 
 

@@ -73,15 +73,34 @@ def test_against_brute_force(spark, rows_of, options):
     assert rows_of(found) == brute_top(left, right, 5)
 
 
-def test_more_hot_blocks_than_can_be_broadcast(spark, rows_of, monkeypatch):
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"hot_block_rows": 2},
+        # Blocks that are calm but heavy must not crowd out hot ones.
+        {"hot_block_rows": 25, "pairs_per_task": 20},
+    ],
+)
+def test_more_hot_blocks_than_can_be_broadcast(spark, rows_of, monkeypatch, options):
     monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 2)
     left, right = random_rows("S1", 60, 3), random_rows("S2", 80, 4)
     frames = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
-    options = {"hot_block_rows": 2, "max_subset_tokens": 4}
-    found = topk.top_candidates(*frames, k=5, channels=KEY_CHANNELS, **options)
+    found = topk.top_candidates(
+        *frames, k=5, channels=KEY_CHANNELS, max_subset_tokens=4, **options
+    )
     assert rows_of(found) == brute_top(left, right, 5)
 
 
+def test_hot_blocks_come_before_larger_calm_ones(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", 1)
+    rows = [("calm",)] * 40 + [("hot",)] * 2 + [("warm",)]
+    left = spark.createDataFrame(rows, "k string")
+    right = spark.createDataFrame([("calm",)] * 3 + [("hot",)] * 6 + [("warm",)] * 5, "k string")
+    blocks = skew.heavy_blocks(left, right, ["k"], pairs_per_task=10, hot_rows=4)
+    assert {r.k for r in blocks.within(left, ["k"]).collect()} == {"hot", "warm"}
+    assert {r.k for r in blocks.outside(left, ["k"]).collect()} == {"calm"}
+
+
 def test_hot_block_of_nameless_records(spark, rows_of):
     """Names unknown on one side only, on both, and nowhere else to match."""
     left = [(f"S1-{i}", None if i % 2 else "acme inc", None, None, "") for i in range(20)]
