@@ -1,12 +1,13 @@
 """Lexical retrieval packing.
 
-Documents are dealt into shards. Whole windows of a document are sequences of
-their own; what remains of each document is packed inside its shard: a BM25
-inverted index over token ids returns, for a seed piece, its unused neighbours
-by score, and they fill the seed's window one after another. The piece that
-overflows is cut, and its rest seeds the next window. Document frequencies and
-the mean length come from all documents; a shard holds a bounded number of
-tokens.
+Whole windows of a document are sequences of their own. What remains of each
+document is placed in one order of the whole corpus by its content
+(``pairloom.llm.lexical``), and the order is cut into shards of a bounded number
+of tokens, so that pieces with the same rare terms share a shard. Inside a shard
+a BM25 inverted index over token ids returns, for a seed piece, its unused
+neighbours by score, and they fill the seed's window one after another. The
+piece that overflows is cut, and its rest seeds the next window. Document
+frequencies and the mean length come from all documents.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import field, packed, text_of, written
+from pairloom.llm.lexical import with_codes
 from pairloom.llm.tokens import ID_BYTES, token_ids
 
 WINDOW = 2_048
 # About so many tokens of remainders in a shard: some hundreds of documents.
 SHARD_TOKENS = 400_000
+# About so many shards are cut from one range of the order.
+SHARDS_PER_RANGE = 4
 VOCABULARY = 1 << 16
 K1, B = 1.2, 0.75
 
@@ -133,19 +136,43 @@ def pack_pieces(
         seed, start = rest if rest else (None, 0)
 
 
-def _shard_packer(idf: np.ndarray, mean_length: float, window: int):
-    def pack(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["key", "nth"], kind="stable")
-        number = int(shard["shard"].iloc[0]) << 32
-        keys, doc_tokens = shard["key"].to_numpy(), shard["n"].to_numpy()
-        pieces = [np.frombuffer(x, dtype="<u2") for x in shard["tail"]]
-        begins = shard["begin"].to_numpy()
-        rows = [
-            (keys[i], begins[i] + start, length, crc32(pieces[i][start : start + length]),
-             doc_tokens[i], number + sequence, offset)
-            for i, start, length, sequence, offset in pack_pieces(pieces, idf, mean_length, window)
-        ]
-        return pd.DataFrame(rows, columns=_COLUMNS)
+def _shards(batches, shard_tokens: int) -> Iterator[list[tuple]]:
+    """Rows (key, nth, n, begin, tail) of a range in shards of ``shard_tokens``.
+    A last shard of less than half joins the one before it."""
+    ready, shard, held = None, [], 0
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("key", "nth", "n", "begin", "tail"))):
+            shard.append(row)
+            held += len(row[4]) // ID_BYTES
+            if held >= shard_tokens:
+                if ready:
+                    yield ready
+                ready, shard, held = shard, [], 0
+    if ready and held * 2 < shard_tokens:
+        ready, shard = ready + shard, []
+    yield from (x for x in (ready, shard) if x)
+
+
+def _range_packer(idf: np.ndarray, mean_length: float, window: int, shard_tokens: int):
+    """Sequence numbers hold the range, the shard (20 bits) and the sequence (24)."""
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 20
+        for at, shard in enumerate(_shards(batches, shard_tokens)):
+            shard.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            number = (first + at) << 24
+            pieces = [np.frombuffer(r[4], dtype="<u2") for r in shard]
+            rows = [
+                (shard[i][0], shard[i][3] + start, length, crc32(pieces[i][start : start + length]),
+                 shard[i][2], number + sequence, offset)
+                for i, start, length, sequence, offset in pack_pieces(pieces, idf, mean_length, window)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), pa.int64()) for c in zip(*rows)], _COLUMNS
+            )
 
     return pack
 
@@ -184,9 +211,10 @@ def pack_documents(
 
     A document is the ids of its text (null: empty) and the end id. Every id is
     in exactly one piece; a sequence holds at most ``window`` ids, without gaps,
-    and only the last sequence of a shard is shorter. Repeated rows are packed
-    once each; a null document id stays null. An empty table gives an empty
-    result.
+    and only the last sequence of a shard is shorter. A seed's neighbours are
+    those of its shard; pieces of similar content share one wherever they come
+    from. Repeated rows are packed once each; a null document id stays null. An
+    empty table gives an empty result.
     """
     keyed = packed(docs).select(
         field(id_col).cast("bigint").alias("key"), text_of(text_col).alias("text")
@@ -196,17 +224,24 @@ def pack_documents(
         token_ids(keyed).withColumn("nth", F.monotonically_increasing_id()), "tokens"
     )
     tail = F.col("n") % window
-    n_docs, tails = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(tail), F.lit(0))).first()
+    n_docs, n_rests, tails = tokens.agg(
+        F.count(F.lit(1)), F.count_if(tail > 0), F.coalesce(F.sum(tail), F.lit(0))
+    ).first()
     df = document_frequencies(tokens)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     n_shards = max(1, math.ceil(tails / SHARD_TOKENS))
     rests = tokens.where(tail > 0).select(
         "key", "nth", "n", (F.col("n") - tail).alias("begin"),
-        F.pmod(F.xxhash64("key", "nth"), F.lit(n_shards)).alias("shard"),
         F.expr(f"substring(ids, cast((n - n % {window}) * {ID_BYTES} + 1 as int))").alias("tail"),
     )
-    packer = _shard_packer(idf, tails / max(n_docs, 1), window)
-    remainders = rests.groupBy("shard").applyInPandas(packer, PIECES)
+    if n_shards > 1:
+        coded = written(with_codes(rests, idf, n_rests), "codes")
+    else:
+        # One shard sees every piece: the order says nothing.
+        coded = rests.withColumn("code", F.lit(0).cast("bigint"))
+    ranges = coded.repartitionByRange(math.ceil(n_shards / SHARDS_PER_RANGE), "code", "nth")
+    packer = _range_packer(idf, tails / max(n_docs, 1), window, SHARD_TOKENS)
+    remainders = ranges.sortWithinPartitions("code", "nth").mapInArrow(packer, PIECES)
     whole = tokens.where(F.col("n") >= window).select("key", "n", "ids")
     windows = whole.mapInArrow(_whole_windows(window), PIECES)
     return remainders.unionByName(windows).withColumnRenamed("key", "doc_id")

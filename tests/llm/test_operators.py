@@ -225,6 +225,36 @@ def test_packing_covers_every_id_once(docs, rows, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_packing_finds_the_best_neighbours_across_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    topics = [words(rng, 25).split() for _ in range(40)]
+    common = words(rng, 200).split()
+    texts = []
+    for i in range(480):
+        topic = topics[i % 40]
+        texts.append(" ".join(rng.choice(topic) if rng.random() < 0.7 else rng.choice(common) for _ in range(40)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    encoder = TokenIds()
+    ids = [np.append(np.frombuffer(encoder.ids(t), "<u2"), 1) for t in texts]
+    total = sum(map(len, ids))
+    monkeypatch.setattr(packing, "SHARD_TOKENS", total // 16)
+    pieces = packing.pack_documents(frame, window=512).collect()
+    assert sum(p.length for p in pieces) == total
+    shards_of, in_shard = defaultdict(set), defaultdict(int)
+    for p in pieces:
+        shards_of[p.doc_id].add(p.sequence_id >> 24)
+        in_shard[p.sequence_id >> 24] += p.length
+    assert len(in_shard) >= 8 and max(in_shard.values()) <= 1.6 * total / 16
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    index = packing.InvertedIndex(ids, np.log1p((480 - df + 0.5) / (df + 0.5)), total / 480)
+    reached = []
+    for i in range(480):
+        scores = index.scores(i)
+        scores[i] = -1
+        reached += [bool(shards_of[i] & shards_of[int(j)]) for j in np.argsort(-scores, kind="stable")[:5]]
+    assert np.mean(reached) >= 0.6
+
+
 def test_index_scores_against_the_formula():
     rng = np.random.default_rng(3)
     pieces = [rng.integers(0, 30, n) for n in (5, 40, 17, 3)]
