@@ -36,7 +36,8 @@ def paths_to_root(nodes: DataFrame) -> DataFrame:
     """``nodes`` (tree, node, parent) to (tree, leaf, node, up): every node on
     the way from a leaf up to its root. Each round doubles the reach, so the
     number of joins is the logarithm of the depth. Rows whose parent is missing
-    are roots; a circle has no leaf and is left out."""
+    are roots; a circle has no leaf and is left out. (tree, node) must be unique
+    and not null."""
     nodes = nodes.select("tree", "node", "parent")
     has_child = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     paths = written(
@@ -69,6 +70,32 @@ def paths_to_root(nodes: DataFrame) -> DataFrame:
         reach *= 2
 
 
+def _never_null(name: str) -> Column:
+    """A key that joins where ``name`` is null; values come before the null."""
+    return F.struct(F.isnull(name).alias("absent"), F.col(name).alias("id"))
+
+
+def _unique_nodes(messages: DataFrame) -> DataFrame:
+    """Messages with keys (tree, node) that are unique and never null: structs
+    with the value in ``id``. Written, so the numbers of null nodes hold."""
+    copy = F.row_number().over(
+        Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
+    )
+    # Null nodes are numbered apart, all others are number 1.
+    numbered = messages.withColumn("copy", copy).where("node is null or copy = 1")
+    key = lambda name, nth: F.struct(
+        F.isnull(name).alias("absent"), F.col(name).alias("id"), nth.alias("nth")
+    )
+    return written(
+        numbered.select(
+            _never_null("tree").alias("tree"), key("node", F.col("copy")).alias("node"),
+            F.when(F.col("parent").isNotNull(), key("parent", F.lit(1))).alias("parent"),
+            "role", "text", "score",
+        ),
+        "messages",
+    )
+
+
 def format_trees(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     """``messages`` (tree, node, parent, role, text, score) to one row per chosen
     path: ``tree``, ``leaf``, ``rank``, ``n_turns``, ``formatted`` and ``mask``
@@ -77,9 +104,14 @@ def format_trees(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
 
     Branches of a tree are ranked by the mean score of their messages (null: 0),
     then by length, then by the smaller leaf. Null roles and texts count as empty.
-    (tree, node) must be unique. An empty table gives an empty result.
+    Rows with a null tree are one tree, whose ``tree`` stays null. Of rows that
+    repeat a (tree, node) the first by parent, role, text and score counts, nulls
+    first. A null node has no children, so every row with one is a branch of its
+    own with a null ``leaf``, repeated rows too; they come after equal branches
+    with a leaf, in the order of the columns named. An empty table gives an empty
+    result.
     """
-    messages = messages.select("tree", "node", "parent", "role", "text", "score")
+    messages = _unique_nodes(messages.select("tree", "node", "parent", "role", "text", "score"))
     paths = paths_to_root(messages)
     scored = paths.join(messages.select("tree", "node", "score"), ["tree", "node"])
     branches = scored.groupBy("tree", "leaf").agg(
@@ -121,15 +153,16 @@ def format_trees(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         ),
     )
     return whole.select(
-        "tree", "leaf", "rank", "n_turns", F.array_join(parts, "").alias("formatted"),
-        begins["spans"].alias("mask"),
+        F.col("tree.id").alias("tree"), F.col("leaf.id").alias("leaf"), "rank", "n_turns",
+        F.array_join(parts, "").alias("formatted"), begins["spans"].alias("mask"),
     )
 
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Conversations of single turns (conv_id, turn, role, text) as reply trees
     without branches: every row answers the row before it, by turn, then role,
-    then text. Other columns are left out."""
+    then text. Other columns are left out. Rows with a null conv_id are one
+    conversation, as in a GROUP BY."""
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = packed(conversations).select(
         field("conv_id").alias("tree"), field("turn").alias("turn"),

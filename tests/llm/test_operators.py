@@ -287,6 +287,22 @@ def test_reply_trees(spark):
     assert conversations.format_trees(frame.limit(0)).count() == 0
 
 
+def test_null_and_repeated_keys_of_trees(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "c"), (None, 1, "assistant", "b")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    read = conversations.read_turns(F.col("formatted"))
+    got = conversations.format_trees(conversations.chains(frame)).withColumn("turns", read).collect()
+    assert {r.tree: [t.text for t in r.turns] for r in got} == {None: ["a", "b", "b"], 5: ["c"]}
+    m = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "user", "z", 9.0), (1, 2, 1, "user", "b", 9.0),
+         (1, None, 1, "user", "n", 3.0), (1, None, 1, "user", "n", 3.0), (None, 1, None, "user", "t", 0.0)]
+    frame = spark.createDataFrame(m, "tree bigint, node bigint, parent bigint, role string, text string, score double")
+    got = conversations.format_trees(frame, paths_per_tree=9).withColumn("turns", read).collect()
+    out = sorted(((r.tree, r["rank"], r.leaf, r.n_turns, [t.text for t in r.turns]) for r in got), key=repr)
+    assert out == [
+        (1, 1, 2, 2, ["a", "b"]), (1, 2, None, 2, ["a", "n"]), (1, 3, None, 2, ["a", "n"]), (None, 1, 1, 1, ["t"])
+    ]
+
+
 def test_deep_chain_needs_few_rounds(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(150)]
     frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
