@@ -299,9 +299,6 @@ def _decision_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- model -----------------------------------------------------------------
 
-# Fewer rounds than the training job runs by default.
-TRIAL = model.BoostingParams(max_rounds=10)
-
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.add_labels(
@@ -318,12 +315,12 @@ def _fold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.fit_folds(_labelled(spark, sf_dir), TRIAL)[1]
+    return model.fit_folds(_labelled(spark, sf_dir))[1]
 
 
 def _ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
-    models, _ = model.fit_folds(labelled, TRIAL)
+    models, _ = model.fit_folds(labelled)
     return model.ensemble_scores(labelled.drop("label"), models)
 
 
@@ -490,7 +487,6 @@ def _train_and_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources={s: paths[s] for s in ("s1", *TARGETS)},
         truth=paths["truth"],
         output=output_folder,
-        boosting=TRIAL,
         fuzzy_parts=1,
     )
     train(spark, config)

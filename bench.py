@@ -30,7 +30,6 @@ from pairloom.operators.staging import stage  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-BOOSTING = model.BoostingParams(max_rounds=10)
 
 seconds: dict[str, float] = {}
 
@@ -108,8 +107,8 @@ def main() -> None:
     labelled = stage(
         truth.add_labels(features.merge_similarity(fuzzy_rows, similar), gold), "labelled"
     )
-    clock("train_folds", lambda: model.fit_folds(labelled, BOOSTING)[1])
-    scores = stage(model.fit_folds(labelled, BOOSTING)[1], "scores")
+    clock("train_folds", lambda: model.fit_folds(labelled)[1])
+    scores = stage(model.fit_folds(labelled)[1], "scores")
     sets = truth.true_sets(gold)
     clock("decision_grid", lambda: decision.decision_grid(scores, sets))
     clock("decision_apply", lambda: decision.apply_decision(scores, 0.5, 0.1, 0.5))

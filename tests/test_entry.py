@@ -56,3 +56,21 @@ def test_query_equals_its_sql(spark, sf_dir, sql, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["source1_entity_id", "candidate_entity_ids"] and df.count() == 150
+
+
+def test_training_queries_run_all_rounds(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def fit_folds(labelled, params=contract.model.BoostingParams(), n_folds=5):
+        asked.append(params)
+        raise InterruptedError
+
+    monkeypatch.setattr(contract.model, "fit_folds", fit_folds)
+    monkeypatch.setattr(contract, "_labelled", lambda spark, sf_dir: None)
+    for query in (contract._oof_scores, contract._ensemble_scores):
+        with pytest.raises(InterruptedError):
+            query(spark, sf_dir)
+    monkeypatch.setattr(contract, "train", lambda spark, config: fit_folds(None, config.boosting))
+    with pytest.raises(InterruptedError):
+        contract._train_and_infer(spark, sf_dir)
+    assert asked == [contract.model.BoostingParams()] * 3
