@@ -95,11 +95,12 @@ class ImportanceModel:
 
 
 def _best_cutoff(rows: list[tuple[float, bool]]) -> float:
-    """The cutoff of largest balanced accuracy; the middle of the best gap."""
+    """The cutoff of largest balanced accuracy; the middle of the best gap. With
+    one class only nothing tells where to cut: everything passes."""
     good = sum(1 for _, g in rows if g)
     bad = len(rows) - good
     if not good or not bad:
-        return 0.0 if good or not rows else float("inf")
+        return -float("inf")
     rows = sorted(rows)
     below_good = below_bad = 0
     best, cut = -1.0, 0.0
@@ -195,8 +196,9 @@ def quality_scores(
     fitted cutoff: those of largest score plus Gumbel noise times ``temperature``
     over the same size. Equal sums go to the smaller key. Texts without
     words have score 0. Rows that share id and text are one document; null ids
-    have no label. Without labels everything is kept; an empty table gives an
-    empty result. Reruns agree.
+    have no label. Without labels, or where the rows held back for the cutoff are
+    all good or all bad, everything is kept; an empty table gives an empty
+    result. Reruns agree.
     """
     model = fit(docs, labels, id_col, text_col)
     keyed = with_keys(docs, id_col, text_col)

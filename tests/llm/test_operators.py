@@ -488,6 +488,14 @@ def test_quality_edge_cases(spark, docs, rows, no_docs):
     assert importance.keep_good(docs, odd).columns == docs.columns
 
 
+def test_one_class_of_labels_keeps_everything(spark, docs, rows):
+    for quality in (1, 0):
+        labels = spark.createDataFrame([(i, quality, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+        assert importance.quality_scores(docs, labels).where("kept").count() == len(rows)
+    assert importance._best_cutoff([(0.3, False), (0.1, False)]) == -float("inf")
+    assert importance._best_cutoff([(0.3, True)]) == -float("inf")
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(selection, "FEW", 3)
     monkeypatch.setattr(selection, "BINS", 4)
