@@ -23,6 +23,7 @@ from pairloom.operators import (  # noqa: E402
     decision,
     evaluation,
     features,
+    folds,
     model,
     output,
     quality,
@@ -307,10 +308,15 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _all_candidates(spark, sf_dir).withColumn("fold", model.fold_of())
-    per_entity = pairs.groupBy("s1_id").agg(F.count_distinct("fold").alias("n_folds"))
-    return per_entity.agg(
-        F.max("n_folds").alias("max_folds"), F.count(F.lit(1)).alias("n_entities")
+    """Entities and pairs of each fold, and the most folds an entity is in."""
+    pairs = stage(_all_candidates(spark, sf_dir), "pairs")
+    dealt = stage(folds.balanced_folds(pairs, "s1_id", model.N_FOLDS), "folds")
+    placed = pairs.join(dealt, "s1_id")
+    in_folds = placed.groupBy("s1_id").agg(F.count_distinct("fold").alias("n"))
+    return (
+        placed.groupBy("fold")
+        .agg(F.count_distinct("s1_id").alias("n_entities"), F.count(F.lit(1)).alias("n_pairs"))
+        .join(in_folds.agg(F.max("n").alias("max_folds")))
     )
 
 

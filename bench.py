@@ -107,8 +107,14 @@ def main() -> None:
     labelled = stage(
         truth.add_labels(features.merge_similarity(fuzzy_rows, similar), gold), "labelled"
     )
-    clock("train_folds", lambda: model.fit_folds(labelled)[1])
-    scores = stage(model.fit_folds(labelled)[1], "scores")
+    trained: list[DataFrame] = []
+
+    def fit() -> DataFrame:
+        trained.append(stage(model.fit_folds(labelled)[1], "scores"))
+        return trained[0]
+
+    clock("train_folds", fit)
+    scores = trained[0]
     sets = truth.true_sets(gold)
     clock("decision_grid", lambda: decision.decision_grid(scores, sets))
     clock("decision_apply", lambda: decision.apply_decision(scores, 0.5, 0.1, 0.5))

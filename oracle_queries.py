@@ -364,10 +364,24 @@ def oracles() -> dict[str, str]:
             f"SELECT s1_id, other_id, CASE WHEN g.s1_id IS NULL THEN 0 ELSE 1 END AS label "
             f"FROM ({_TOP_PAIRS}) LEFT JOIN gt_pairs g USING (s1_id, other_id)"
         ),
-        "fold_assign_check": (
-            f"SELECT CAST(1 AS BIGINT) AS max_folds, count(DISTINCT s1_id) AS n_entities "
-            f"FROM ({_TOP_PAIRS})"
-        ),
+        # Groups from the largest on, each to the fold with the fewest rows so far.
+        "fold_assign_check": f"""
+            SELECT CAST(fold AS INTEGER) AS fold, n_entities, n_pairs, CAST(1 AS BIGINT) AS max_folds
+            FROM (
+              WITH RECURSIVE sized AS MATERIALIZED (
+                SELECT count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, s1_id) AS i
+                FROM ({_TOP_PAIRS}) GROUP BY s1_id),
+              dealt AS (
+                SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS held,
+                  CAST(0 AS BIGINT) AS fold, CAST(0 AS BIGINT) AS size
+                UNION ALL
+                SELECT g.i,
+                  list_transform(d.held, lambda x, j: x + CASE
+                    WHEN j = list_position(d.held, list_min(d.held)) THEN g.size ELSE 0 END),
+                  list_position(d.held, list_min(d.held)) - 1, g.size
+                FROM dealt d JOIN sized g ON g.i = d.i + 1)
+              SELECT fold, count(*) AS n_entities, CAST(sum(size) AS BIGINT) AS n_pairs
+              FROM dealt WHERE i > 0 GROUP BY fold)""",
         "decision_apply": "SELECT s1_id, other_id FROM decided",
         "entity_f05": "SELECT s1_id, n_true, n_pred, tp, round(f0_5, 6) AS f0_5 FROM entity_scores",
         "macro_f05": f"SELECT {_QUALITY} FROM entity_scores",

@@ -19,6 +19,7 @@ CHEAP = [
     "fuzzy_addr_token_sort",
     "embedding_topk",
     "decision_grid",
+    "fold_assign_check",
     "validate_matching",
     "validate_subset",
     "validate_files",
@@ -58,19 +59,9 @@ def test_entry(spark):
     assert df.columns == ["source1_entity_id", "candidate_entity_ids"] and df.count() == 150
 
 
-def test_training_queries_run_all_rounds(spark, sf_dir, monkeypatch):
-    asked = []
-
-    def fit_folds(labelled, params=contract.model.BoostingParams(), n_folds=5):
-        asked.append(params)
-        raise InterruptedError
-
-    monkeypatch.setattr(contract.model, "fit_folds", fit_folds)
-    monkeypatch.setattr(contract, "_labelled", lambda spark, sf_dir: None)
-    for query in (contract._oof_scores, contract._ensemble_scores):
-        with pytest.raises(InterruptedError):
-            query(spark, sf_dir)
-    monkeypatch.setattr(contract, "train", lambda spark, config: fit_folds(None, config.boosting))
-    with pytest.raises(InterruptedError):
-        contract._train_and_infer(spark, sf_dir)
-    assert asked == [contract.model.BoostingParams()] * 3
+def test_training_queries_end_with_the_jobs_own_boosting(spark, sf_dir):
+    scores = contract.queries()["oof_scores"](spark, sf_dir)
+    assert scores.count() == contract.queries()["pair_labels"](spark, sf_dir).count()
+    assert scores.where("score <= 0 or score >= 1").isEmpty()
+    matched = contract.queries()["train_and_infer"](spark, sf_dir)
+    assert matched.count() == 150 and matched.where("matched_entity_ids IS NOT NULL").count() > 100
