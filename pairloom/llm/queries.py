@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import (
+    anchors,
+    bisectors,
     conversations,
     exact_dedup,
     importance,
@@ -120,6 +122,17 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % topk.EVERY == 0)
 
 
+def bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return anchors.remove_shared_passages(docs).select(
+        field("doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filters": url_filters,
     "op2_suffix_array_dedup": suffix_array_dedup,
@@ -131,6 +144,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": quality_classifier,
     "op9_minhash_near_dedup": near_duplicates,
     "op10_exact_topk": exact_topk,
+    "op11_bisector_clusters": bisector_clusters,
+    "op13_shared_passages": shared_passages,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

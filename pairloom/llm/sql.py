@@ -107,6 +107,63 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_CENTROIDS, _ROUNDS = 40, 5
+
+
+def _bisector_clusters() -> str:
+    distance = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        """kept AS (
+  SELECT row_number() OVER () AS nth, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 524288)) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q FROM kept
+  ORDER BY sha256('2:' || vec_id), q LIMIT %d)""" % _CENTROIDS
+    ]
+    for i in range(_ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT nth, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.nth, c.c, {distance} AS d FROM kept v, c{i} c) GROUP BY nth)""")
+        if i < _ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.q, o.q) AS q
+  FROM c{i} o LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS q
+    FROM (SELECT a.c, u.pos, sum(u.x) AS s, count(*) AS n
+      FROM a{i} a JOIN (SELECT nth, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM kept) u USING (nth)
+      GROUP BY a.c, u.pos)
+    GROUP BY c) n USING (c))""")
+    last = _ROUNDS
+    return f"""WITH {", ".join(steps)}
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM kept k JOIN a{last} a USING (nth) JOIN c{last} c ON c.c = a.c"""
+
+
+SHARED_PASSAGES = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos
+  FROM windows JOIN firsts USING (h) WHERE doc_id > first_id),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op1_url_filters": URL_FILTERS,
     "op5_chat_formatting": CHAT_FORMATTING,
@@ -114,4 +171,6 @@ ORACLES = {
     "op7_exact_dedup": EXACT_DEDUP,
     "op9_minhash_near_dedup": NEAR_DEDUP,
     "op10_exact_topk": EXACT_TOPK,
+    "op11_bisector_clusters": _bisector_clusters(),
+    "op13_shared_passages": SHARED_PASSAGES,
 }
