@@ -16,6 +16,7 @@ from pairloom.llm import (
     mixing,
     near_dedup,
     packing,
+    prefix_trie,
     repeats,
     shards,
     topk,
@@ -126,6 +127,11 @@ def bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisectors.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(rows)
+
+
 def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return anchors.remove_shared_passages(docs).select(
@@ -145,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op9_minhash_near_dedup": near_duplicates,
     "op10_exact_topk": exact_topk,
     "op11_bisector_clusters": bisector_clusters,
+    "op12_prefix_trie": conversation_trie,
     "op13_shared_passages": shared_passages,
 }
 

@@ -164,6 +164,59 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
+# Every rebuilt conversation's prefixes are named by the digest of the one before
+# and the turn; what lies under a node is counted over all of its members.
+PREFIX_TRIE = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+table_of AS (
+  SELECT n AS byte, list_reduce(list_concat([n], range(8)), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry
+  FROM (SELECT unnest(range(256)) AS n)),
+ids AS (SELECT DISTINCT conv_id FROM turns),
+crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS said, CAST(4294967295 AS BIGINT) AS c, 1 AS pos FROM ids
+  UNION ALL
+  SELECT conv_id, said, xor(c >> 8, entry), crc.pos + 1
+  FROM crc JOIN table_of ON byte = xor(c, CAST(ascii(said[crc.pos]) AS BIGINT)) & 255
+  WHERE crc.pos <= length(said)),
+shared AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(c, 4294967295) % 4 AS h
+  FROM crc WHERE pos > length(said)),
+rebuilt AS (
+  SELECT s.conv_id, t.role, t.text, t.pos AS place FROM shared s JOIN turns t ON t.conv_id = s.base AND t.pos < s.h
+  UNION ALL
+  SELECT s.conv_id, t.role, t.text, t.pos FROM shared s JOIN turns t ON t.conv_id = s.conv_id AND t.pos >= s.h),
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM rebuilt),
+lengths AS (SELECT i.conv_id, coalesce(max(depth), 0) AS n FROM ids i LEFT JOIN numbered USING (conv_id) GROUP BY 1),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS node, CAST(NULL AS VARCHAR) AS parent, '' AS text FROM ids
+  UNION ALL
+  SELECT p.conv_id, n.depth, sha256(p.node || length(n.role) || ':' || n.role || n.text), p.node, n.text
+  FROM paths p JOIN numbered n ON n.conv_id = p.conv_id AND n.depth = p.depth + 1),
+nodes AS MATERIALIZED (
+  SELECT depth, node, any_value(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved,
+    sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY depth, node),
+family AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+under AS (
+  SELECT a.depth, a.node, sum(n.saved) AS saved_tokens, count(*) FILTER (f.node IS NULL) AS n_leaves
+  FROM nodes n JOIN paths own ON own.conv_id = n.conv_id AND own.depth = n.depth
+  JOIN paths a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+  LEFT JOIN family f ON f.node = n.node AND f.depth = n.depth
+  GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(f.n_children, 0) AS n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN under u ON u.node = n.node AND u.depth = n.depth
+LEFT JOIN nodes up ON up.node = n.parent AND up.depth = n.depth - 1
+LEFT JOIN family f ON f.node = n.node AND f.depth = n.depth
+"""
+
+
 ORACLES = {
     "op1_url_filters": URL_FILTERS,
     "op5_chat_formatting": CHAT_FORMATTING,
@@ -172,5 +225,6 @@ ORACLES = {
     "op9_minhash_near_dedup": NEAR_DEDUP,
     "op10_exact_topk": EXACT_TOPK,
     "op11_bisector_clusters": _bisector_clusters(),
+    "op12_prefix_trie": PREFIX_TRIE,
     "op13_shared_passages": SHARED_PASSAGES,
 }
