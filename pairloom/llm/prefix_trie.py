@@ -277,6 +277,9 @@ def _screened(above: np.ndarray, width: int):
     conversation seen by this task. ``first``: it is the first one that is."""
 
     def screen(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         last, told = None, False
         for batch in batches:
             if not batch.num_rows:
@@ -296,13 +299,40 @@ def _screened(above: np.ndarray, width: int):
             first = one & (since == 1)
             last, told = conv[-1], bool(single[-1])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(single), pa.array(first)],
-                [*batch.schema.names, "single", "first"],
+                [*batch.columns, pa.array(single), pa.array(first),
+                 pa.array(np.full(len(conv), part, dtype=np.int32))],
+                [*batch.schema.names, "single", "first", "_part"],
             )
 
     return screen
 
 
+def _told_on(screened: DataFrame) -> DataFrame:
+    """What a range found of its last conversation told to the ranges that go on
+    with it: the driver sees a row per range."""
+    ends = screened.groupBy("_part").agg(
+        F.min("conv_id").alias("first_id"), F.max("conv_id").alias("last_id"),
+        F.max_by("single", F.struct("conv_id", "depth")).alias("told"),
+    )
+    known, over, told = [], None, False
+    for row in sorted(ends.collect(), key=lambda r: r["_part"]):
+        goes_on = row["first_id"] == over and told
+        if goes_on:
+            known.append((row["_part"], over))
+        told = row["told"] or (goes_on and row["last_id"] == over)
+        over = row["last_id"]
+    if not known:
+        return screened.drop("_part")
+    table = screened.sparkSession.createDataFrame(known, "at_part int, at_conv bigint")
+    joined = screened.join(
+        F.broadcast(table), (F.col("_part") == F.col("at_part")) & (F.col("conv_id") == F.col("at_conv")), "left"
+    )
+    known_single = F.col("at_part").isNotNull()
+    return joined.withColumns(
+        {"single": F.col("single") | known_single, "first": F.col("first") & ~known_single}
+    ).drop("_part", "at_part", "at_conv")
+
+
 def _joined_ids(batches):
     """Sorted (digest, conv_id) rows to pieces of comma-joined ids."""
     at, ids = None, []
@@ -418,10 +448,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     above = shared_cells(prefixes, width)
     shape = (
         "conv_id bigint, depth bigint, words bigint, digest_a bigint, digest_b bigint,"
-        " parent_a bigint, parent_b bigint, single boolean, first boolean"
+        " parent_a bigint, parent_b bigint, single boolean, first boolean, _part int"
     )
     ordered = prefixes.repartitionByRange(n_ranges, "conv_id", "depth").sortWithinPartitions("conv_id", "depth")
-    screened = written(ordered.mapInArrow(_screened(above, width), shape), "screened")
+    screened = _told_on(written(ordered.mapInArrow(_screened(above, width), shape), "screened"))
     tails, maybe = screened.where("single"), screened.where("not single")
 
     # Prefixes that may be shared, grouped exactly.
