@@ -1,8 +1,9 @@
 """Chat formatting of reply trees.
 
-Self-joins that double their reach enumerate the path from every leaf to its
-root, branches are ranked by their scores, and each chosen path becomes one
-conversation with marked turns and a loss mask over the assistant's texts.
+Self-joins that double their reach add up the scores from every leaf to its root,
+branches are ranked by them, and the path of each chosen one is enumerated and
+becomes one conversation with marked turns and a loss mask over the assistant's
+texts.
 """
 
 from __future__ import annotations
@@ -32,42 +33,95 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
-def paths_to_root(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (tree, node, parent) to (tree, leaf, node, up): every node on
-    the way from a leaf up to its root. Each round doubles the reach, so the
-    number of joins is the logarithm of the depth. Rows whose parent is missing
-    are roots; a circle has no leaf and is left out. (tree, node) must be unique
-    and not null."""
-    nodes = nodes.select("tree", "node", "parent")
-    has_child = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    paths = written(
-        nodes.join(has_child, ["tree", "node"], "left_anti").select(
-            "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")
-        ),
-        "leaves",
-    )
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (tree, node, above, worth, n) of the node 1, 2, 4, … steps above each
+    node that has one, with the scores and the number of the nodes from ``node`` up to
+    below ``above``. Also the nodes that lie on a circle or lead into one, if any:
+    they have a node above them at more steps than their tree has nodes."""
     known = nodes.select("tree", F.col("node").alias("above"))
-    jumps = written(
-        nodes.select("tree", "node", F.col("parent").alias("above")).join(known, ["tree", "above"]),
+    step = written(
+        nodes.select(
+            "tree", "node", F.col("parent").alias("above"),
+            F.coalesce("score", F.lit(0.0)).alias("worth"), F.lit(1).cast("bigint").alias("n"),
+        ).join(known, ["tree", "above"]),
         "jumps",
     )
-    reach = 1
-    while True:
+    jumps: list[DataFrame] = []
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while not step.isEmpty():
+        if 1 << len(jumps) > largest:
+            return jumps, step.select("tree", "node")
+        jumps.append(step)
+        further = step.select(
+            "tree", F.col("node").alias("above"), F.col("above").alias("top"),
+            F.col("worth").alias("more"), F.col("n").alias("more_n"),
+        )
+        step = written(
+            step.join(further, ["tree", "above"]).select(
+                "tree", "node", F.col("top").alias("above"),
+                (F.col("worth") + F.col("more")).alias("worth"), (F.col("n") + F.col("more_n")).alias("n"),
+            ),
+            "jumps",
+        )
+    return jumps, None
+
+
+def _leaves(nodes: DataFrame, lost: DataFrame | None) -> DataFrame:
+    parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    return leaves if lost is None else leaves.join(lost, ["tree", "node"], "left_anti")
+
+
+def branches(nodes: DataFrame, jumps: list[DataFrame], lost: DataFrame | None) -> DataFrame:
+    """(tree, leaf, worth, n_turns) of every branch: the mean score of its nodes and
+    their number. A leaf climbs by the longest jump it has, then the next shorter
+    one, so it is one row at any depth and no path is listed."""
+    at = _leaves(nodes, lost).select(
+        "tree", F.col("node").alias("leaf"), "node",
+        F.lit(0.0).alias("worth"), F.lit(0).cast("bigint").alias("n"),
+    )
+    for jump in reversed(jumps):
+        up = jump.select(
+            "tree", "node", F.col("above"), F.col("worth").alias("more"), F.col("n").alias("more_n")
+        )
+        at = at.join(up, ["tree", "node"], "left").select(
+            "tree", "leaf", F.coalesce("above", "node").alias("node"),
+            (F.col("worth") + F.coalesce("more", F.lit(0.0))).alias("worth"),
+            (F.col("n") + F.coalesce("more_n", F.lit(0))).alias("n"),
+        )
+    roots = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("own"))
+    return at.join(roots, ["tree", "node"]).select(
+        "tree", "leaf", ((F.col("worth") + F.col("own")) / (F.col("n") + 1)).alias("worth"),
+        (F.col("n") + 1).alias("n_turns"),
+    )
+
+
+def paths_of(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf) to (tree, leaf, node, up): every node on the way from each leaf to
+    its root. Each round doubles the reach."""
+    paths = written(
+        leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up")),
+        "paths",
+    )
+    for i, jump in enumerate(jumps):
         longer = written(
-            paths.join(jumps, ["tree", "node"]).select(
-                "tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up")
+            paths.join(jump, ["tree", "node"]).select(
+                "tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << i)).alias("up")
             ),
             "paths",
         )
-        if longer.isEmpty():
-            return paths
         paths = paths.unionByName(longer)
-        further = jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        jumps = written(
-            jumps.join(further, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")),
-            "jumps",
-        )
-        reach *= 2
+    return paths
+
+
+def paths_to_root(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (tree, node, parent) to (tree, leaf, node, up): every node on the way
+    from a leaf up to its root. The number of joins is the logarithm of the depth. Rows
+    whose parent is missing are roots; circles, and leaves that lead into one, have no
+    root and are left out. (tree, node) must be unique and not null."""
+    nodes = nodes.select("tree", "node", "parent", F.lit(0.0).alias("score"))
+    jumps, lost = _jumps(nodes)
+    return paths_of(_leaves(nodes, lost).withColumnRenamed("node", "leaf"), jumps)
 
 
 def _never_null(name: str) -> Column:
@@ -108,18 +162,15 @@ def format_trees(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     repeat a (tree, node) the first by parent, role, text and score counts, nulls
     first. A null node has no children, so every row with one is a branch of its
     own with a null ``leaf``, repeated rows too; they come after equal branches
-    with a leaf, in the order of the columns named. An empty table gives an empty
-    result.
+    with a leaf, in the order of the columns named. Circles, and branches that lead
+    into one, have no root and are left out. An empty table gives an empty result.
     """
     messages = _unique_nodes(messages.select("tree", "node", "parent", "role", "text", "score"))
-    paths = paths_to_root(messages)
-    scored = paths.join(messages.select("tree", "node", "score"), ["tree", "node"])
-    branches = scored.groupBy("tree", "leaf").agg(
-        F.avg(F.coalesce("score", F.lit(0.0))).alias("worth"), F.count(F.lit(1)).alias("n_turns")
-    )
+    jumps, lost = _jumps(messages)
     order = Window.partitionBy("tree").orderBy(F.desc("worth"), F.desc("n_turns"), "leaf")
-    chosen = branches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths_per_tree)
-    turns = paths.join(chosen.drop("worth"), ["tree", "leaf"]).join(
+    ranked = branches(messages, jumps, lost).withColumn("rank", F.row_number().over(order))
+    chosen = written(ranked.where(F.col("rank") <= paths_per_tree).drop("worth"), "chosen")
+    turns = paths_of(chosen, jumps).join(chosen, ["tree", "leaf"]).join(
         messages.select("tree", "node", "role", "text"), ["tree", "node"]
     )
     text = escape(F.coalesce("text", F.lit("")))

@@ -287,6 +287,23 @@ def test_reply_trees(spark):
     assert conversations.format_trees(frame.limit(0)).count() == 0
 
 
+def test_branches_into_circles_end_and_are_left_out(spark):
+    shape = "tree int, node bigint, parent bigint, role string, text string, score double"
+    m = [(1, 1, 2, "u", "x", 9.0), (1, 2, 1, "u", "x", 9.0), (1, 3, 1, "u", "x", 9.0), (1, 4, 3, "u", "x", 9.0),
+         (1, 5, None, "u", "root", 0.0), (1, 6, 5, "u", "leaf", 0.0), (2, 1, 1, "u", "own parent", 0.0),
+         (2, 2, 1, "u", "x", 0.0)]
+    # A long chain with a branch near its root, which has the better mean.
+    m += [(3, i, i - 1 if i else None, "u", str(i), float(i == 1)) for i in range(150)] + [(3, 900, 1, "u", "b", 0.0)]
+    frame = spark.createDataFrame(m, shape).repartition(3)
+    got = conversations.format_trees(frame, paths_per_tree=5).select("tree", "leaf", "rank", "n_turns", "formatted")
+    rows = {(r.tree, r["rank"]): (r.leaf, r.n_turns) for r in got.collect()}
+    assert rows == {(1, 1): (6, 2), (3, 1): (900, 3), (3, 2): (149, 150)}
+    paths = conversations.paths_to_root(frame.where("tree < 3").select("tree", "node", "parent")).collect()
+    assert sorted((r.tree, r.leaf, r.node, r.up) for r in paths) == [(1, 6, 5, 1), (1, 6, 6, 0)]
+    only = frame.where("tree = 2")
+    assert conversations.format_trees(only).count() == 0
+
+
 def test_null_and_repeated_keys_of_trees(spark):
     turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "c"), (None, 1, "assistant", "b")]
     frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
