@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 256
-SAMPLE = 50_000
+SAMPLE = 16_384
 # Leaves hold at least so many pieces of the sample.
 LEAF = 8
 REST_BITS = 16
@@ -30,8 +30,16 @@ def _signs() -> np.ndarray:
     return np.random.default_rng(12).integers(0, 2, (_TERMS, DIMENSIONS), dtype=np.int8) * 2 - 1
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms in order and how often each occurs. Ids of 16 bits are sorted
+    by their digits, which a stable sort does."""
+    ordered = np.sort(ids, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    return ordered[begins], np.diff(np.append(begins, len(ordered)))
+
+
 def sketch(ids: np.ndarray, idf: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    terms, n = np.unique(ids, return_counts=True)
+    terms, n = term_counts(ids)
     weight = (idf[terms] ** 2 * n / (n + _SATURATION)).astype(np.float32)
     v = weight @ signs[terms].astype(np.float32)
     return v / max(float(np.sqrt(v @ v)), 1e-12)
@@ -140,10 +148,10 @@ def with_codes(pieces: DataFrame, idf: np.ndarray, n_pieces: int) -> DataFrame:
 
     every = max(1, -(-n_pieces // SAMPLE))
     drawn = pieces.where(F.pmod(F.xxhash64("nth", F.lit(11)), F.lit(every)) == 0)
-    rows = sorted(drawn.select("nth", "tail").mapInArrow(sample, "nth bigint, sketch binary").collect())
-    tree = build_tree(
-        np.array([np.frombuffer(r[1], np.float32) for r in rows], dtype=np.float32).reshape(-1, DIMENSIONS)
-    )
+    # About ``SAMPLE`` sketches of 1 KB, as one block of memory.
+    rows = drawn.select("nth", "tail").mapInArrow(sample, "nth bigint, sketch binary").toArrow()
+    data = b"".join(x.as_buffer() for x in rows.sort_by("nth")["sketch"])
+    tree = build_tree(np.frombuffer(data, np.float32).reshape(-1, DIMENSIONS))
 
     def place(batches):
         import pyarrow as pa

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import field, packed, text_of, written
-from pairloom.llm.lexical import with_codes
+from pairloom.llm.lexical import term_counts, with_codes
 from pairloom.llm.tokens import ID_BYTES, token_ids
 
 WINDOW = 2_048
@@ -52,7 +52,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         sums = np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                sums[np.unique(np.frombuffer(ids.as_buffer(), dtype="<u2"))] += 1
+                sums[term_counts(np.frombuffer(ids.as_buffer(), dtype="<u2"))[0]] += 1
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["id", "n"])
 
@@ -71,7 +71,7 @@ class InvertedIndex:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1.0))
         terms, owners, tf = [], [], []
         for i, p in enumerate(pieces):
-            t, n = np.unique(p, return_counts=True)
+            t, n = term_counts(p)
             terms.append(t)
             owners.append(np.full(len(t), i))
             tf.append(n)
