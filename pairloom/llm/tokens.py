@@ -28,32 +28,38 @@ _BEYOND_LATIN = re.compile("[^\u0000-\u024f\u2010-\u203a]")
 
 
 @lru_cache(maxsize=1)
-def _encoders():
+def _exact():
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache(maxsize=1)
+def _fast():
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    fast = tiktoken.Encoding(
+    return tiktoken.Encoding(
         "byte_bpe_50k",
         pat_str=public_tokenizers.PATTERN,
         mergeable_ranks=ranks,
         special_tokens={_END_OF_TEXT: _END_OF_TEXT_ID},
     )
-    return fast, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 class TokenIds:
     """``ids(text)``: unsigned 16-bit ids as bytes."""
 
     def __init__(self):
-        self.fast, self.exact = _encoders()
+        self.fast = _fast()
 
     def ids(self, text: str) -> bytes:
         if not text.isascii() and _BEYOND_LATIN.search(text):
-            return array("H", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("H", _exact().encode(text, add_special_tokens=False).ids).tobytes()
         if _END_OF_TEXT in text:
             return array("H", self.fast.encode(text, allowed_special="all")).tobytes()
         return array("H", self.fast.encode_ordinary(text)).tobytes()
