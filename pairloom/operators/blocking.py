@@ -210,14 +210,37 @@ def block_sizes(
     return n_s1.join(n_other, BLOCK).withColumn("n_pairs", _product("n_s1", "n_other"))
 
 
-def candidate_count(s1: DataFrame, other: DataFrame, empty_keys: str = "keep") -> DataFrame:
-    """``n_pairs``: size of the union of the four key channels, without
-    listing a pair.
+def _by_repeats(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other row has, and the rest, if there is any."""
+    counted = df.groupBy("entity_id").count().where("count > 1")
+    repeated = stage(counted.select("entity_id"), label)
+    if repeated.isEmpty():
+        return df, None
+    alone = df.join(repeated, "entity_id", "left_anti").select(*df.columns)
+    return alone, df.join(repeated, "entity_id", "left_semi").select(*df.columns)
 
-    Inclusion-exclusion: a pair is in several channels at once exactly when
-    both records share the composite of those channels' keys, so every
-    intersection is a sum of products of group counts. Ids must be unique.
+
+def candidate_count(s1: DataFrame, other: DataFrame, empty_keys: str = "keep") -> DataFrame:
+    """``n_pairs``: distinct ``(s1_id, other_id)`` of the four key channels. Pairs of
+    ids that one row has are counted without listing them; those of ids that
+    several rows have, whose rows may share different keys, are listed.
     """
+    ones, many = _by_repeats(s1, "repeated-s1")
+    other_ones, other_many = _by_repeats(other, "repeated-other")
+    parts = [_count_of_single_rows(ones, other_ones, empty_keys)]
+    listed = [] if many is None else [(many, other)]
+    listed += [] if other_many is None else [(ones, other_many)]
+    for left, right in listed:
+        pairs = candidate_pairs(left, right, KEY_CHANNELS, empty_keys)
+        parts.append(pairs.agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n_pairs")))
+    total = reduce(DataFrame.unionByName, parts)
+    return total.agg(F.sum("n_pairs").cast("decimal(38,0)").alias("n_pairs"))
+
+
+def _count_of_single_rows(s1: DataFrame, other: DataFrame, empty_keys: str) -> DataFrame:
+    """Inclusion-exclusion: a pair is in several channels at once exactly when
+    both records share the composite of those channels' keys, so every
+    intersection is a sum of products of group counts."""
     subsets = [s for r in range(1, 5) for s in combinations(KEY_CHANNELS, r)]
 
     def grouped(df: DataFrame, count_name: str) -> DataFrame:

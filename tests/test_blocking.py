@@ -70,6 +70,17 @@ def test_count_of_no_pairs(hand):
     assert blocking.candidate_count(s1, other.where("false")).first()["n_pairs"] == 0
 
 
+@pytest.mark.parametrize("empty_keys", ["keep", "drop"])
+def test_count_with_repeated_ids(spark, empty_keys):
+    # Rows of one id that share different keys with another record.
+    one = [*ONE, ("S1-1", "acme", "9 side rd", "9", ""), ("S1-5", "zeta", "9 side rd", "9", "")]
+    two = [*TWO, ("S2-1", "acme foods", "", "", "12345"), ("S2-5", "zeta", None, "9", "99999")]
+    for left, right in ((one, two), (one, TWO), (ONE, two)):
+        expected = len(set(brute_pairs(left, right, KEY_CHANNELS, empty_keys)))
+        tables = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+        assert blocking.candidate_count(*tables, empty_keys).first()["n_pairs"] == expected
+
+
 def test_unknown_option(hand):
     with pytest.raises(ValueError):
         blocking.key_memberships(hand[0], empty_keys="maybe")
