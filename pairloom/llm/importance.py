@@ -4,7 +4,8 @@ Two generative models over hashed words and word pairs: one of target text (rows
 labelled good), one of all documents. A document's log importance weight is the
 log of their ratio, summed over its features. Documents are drawn by Gumbel
 top-k; k is the number of documents whose weight passes a cutoff fitted on
-labelled rows, so the sampler takes as many as look like target text.
+labelled rows, so the sampler takes as many as look like target text. Every labelled
+row counts for the cutoff, scored by a model that did not learn from it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pairloom.llm.selection import kth_largest
 BUCKETS = 1 << 16
 # The classifier is fitted on at most so many labelled rows, drawn by hash.
 MAX_LABELLED = 20_000
-HELD_BACK = 5
+# Labelled rows are dealt into so many folds for the cutoff.
+FOLDS = 5
 SMOOTHING = 0.5
 # Scale of the Gumbel noise beside log weights: 1 samples in proportion to the
 # weights, 0 takes the largest.
-TEMPERATURE = 0.05
+TEMPERATURE = 1.0
 # Added to the number of features of a text: short texts say little.
 SHRINK = 10
 _CACHE = 400_000
@@ -52,33 +54,38 @@ def features(text: str, cache: dict[bytes, int], buckets: int = BUCKETS) -> np.n
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counter(buckets: int):
+def _counter(buckets: int, folds: int = FOLDS):
+    """Per bucket its count over all texts, and that over the targets of each fold;
+    ``target`` is the fold of a target, minus one for any other text."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        sums = np.zeros((2, buckets), dtype=np.int64)
+        sums = np.zeros((1 + folds, buckets), dtype=np.int64)
         for batch in text_batches(batches):
             for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist()):
                 f = np.bincount(features(text, cache, buckets), minlength=buckets)
                 sums[0] += f
-                if target:
-                    sums[1] += f
+                if target >= 0:
+                    sums[1 + target] += f
         seen = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(sums[0][seen]), pa.array(sums[1][seen])],
-            ["bucket", "raw", "target"],
+            [pa.array(seen), *(pa.array(row[seen]) for row in sums)],
+            ["bucket", "raw", *(f"target_{i}" for i in range(folds))],
         )
 
     return count
 
 
-def _scorer(log_ratio: np.ndarray):
+def _scorer(log_ratios: np.ndarray):
+    """Log weights by the model whose row of ``log_ratios`` a text names in ``fold``."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in text_batches(batches):
             sums, sizes = [], []
-            for t in batch["text"].to_pylist():
-                f = features(t, cache, len(log_ratio))
-                sums.append(float(log_ratio[f].sum()))
+            for t, fold in zip(batch["text"].to_pylist(), batch["fold"].to_pylist()):
+                f = features(t, cache, log_ratios.shape[1])
+                sums.append(float(log_ratios[fold][f].sum()))
                 sizes.append(len(f))
             yield pa.RecordBatch.from_arrays(
                 [batch["key"], pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())],
@@ -114,9 +121,9 @@ def _best_cutoff(rows: list[tuple[float, bool]]) -> float:
 
 
 def labelled_sample(labels: DataFrame, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """At most ``most`` labelled ids (``id``, ``good``, ``held_back``), drawn by
+    """At most ``most`` labelled ids (``id``, ``good``, ``fine``, ``fold``), drawn by
     the hash of the id. Rows with null id or quality do not count; of
-    contradicting rows the worse label holds. Toxic rows are not targets."""
+    contradicting rows the worse label holds. ``good`` is ``fine`` and not toxic."""
     rows = packed(labels).select(
         field(id_col).cast("bigint").alias("id"),
         (field("quality") > 0).alias("fine"),
@@ -131,44 +138,56 @@ def labelled_sample(labels: DataFrame, id_col: str = "doc_id", most: int = MAX_L
     drawn = by_id.withColumn("h", order).orderBy("h", "id").limit(most)
     return drawn.select(
         "id", (F.col("fine") & ~F.col("toxic")).alias("good"), F.col("fine"),
-        (F.pmod("h", F.lit(HELD_BACK)) == 0).alias("held_back"),
+        F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"),
     )
 
 
+def _log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Zero everywhere without targets. The target is smoothed towards the raw
+    model, so that a feature it has not seen weighs by how often it should have
+    been seen."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * len(raw))
+    strength = SMOOTHING * len(raw)
+    p_target = (target + strength * p_raw) / (target.sum() + strength)
+    return np.log(p_target / p_raw)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ImportanceModel:
-    """Both models and the cutoff. The raw model counts every document; the
-    target model counts the drawn rows labelled good, less those held back for
-    the cutoff. Without any good row the ratio is zero everywhere."""
+    """Both models and the cutoff. The raw model counts every document, the target
+    model the drawn rows labelled good. For the cutoff each fold of labelled rows is
+    scored by a target model of the other folds; toxic rows of good quality count on
+    neither side there. Without any good row the ratio is zero everywhere."""
     sample = written(labelled_sample(labels), "label-sample")
     texts = packed(docs).select(field(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    targets = F.broadcast(sample.where("good and not held_back").select("id", F.lit(True).alias("target")))
+    targets = F.broadcast(sample.where("good").select("id", F.col("fold").alias("target")))
+    sums = [F.sum(c) for c in ("raw", *(f"target_{i}" for i in range(FOLDS)))]
+    kind = ", ".join(f"target_{i} bigint" for i in range(FOLDS))
     counts = (
         texts.join(targets, "id", "left")
-        .select("text", F.coalesce("target", F.lit(False)).alias("target"))
-        .mapInArrow(_counter(BUCKETS), "bucket bigint, raw bigint, target bigint")
+        .select("text", F.coalesce("target", F.lit(-1)).alias("target"))
+        .mapInArrow(_counter(BUCKETS), f"bucket bigint, raw bigint, {kind}")
         .groupBy("bucket")
-        .agg(F.sum("raw"), F.sum("target"))
+        .agg(*sums)
         .collect()
     )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, n_raw, n_target in counts:
-        raw[bucket], target[bucket] = n_raw, n_target
-    if not target.sum():
+    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
+    for bucket, n_raw, *n_target in counts:
+        raw[bucket], target[:, bucket] = n_raw, n_target
+    everything = target.sum(axis=0)
+    if not everything.sum():
         return ImportanceModel(np.zeros(BUCKETS), -float("inf"))
-    # The target is smoothed towards the raw model, so that a feature it has
-    # not seen weighs by how often it should have been seen.
-    p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    strength = SMOOTHING * BUCKETS
-    p_target = (target + strength * p_raw) / (target.sum() + strength)
-    log_ratio = np.log(p_target / p_raw)
-    held = texts.join(F.broadcast(sample.where("held_back")), "id")
-    scored = held.withColumn("key", F.when(F.col("fine"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    without = np.array([_log_ratio(raw, everything - target[i]) for i in range(FOLDS)])
+    judged = sample.where("good or not fine")
     rows = (
-        scored.select("key", "text")
-        .mapInArrow(_scorer(log_ratio), "key bigint, log_weight double, n_features bigint")
+        texts.join(F.broadcast(judged), "id")
+        .select(F.col("good").cast("bigint").alias("key"), "text", "fold")
+        .mapInArrow(_scorer(without), "key bigint, log_weight double, n_features bigint")
         .collect()
     )
-    return ImportanceModel(log_ratio, _best_cutoff([(_mean(r[1], r[2]), bool(r[0])) for r in rows]))
+    cutoff = _best_cutoff([(_mean(r[1], r[2]), bool(r[0])) for r in rows])
+    return ImportanceModel(_log_ratio(raw, everything), cutoff)
 
 
 def _mean(log_weight: float, n: int) -> float:
@@ -196,14 +215,15 @@ def quality_scores(
     fitted cutoff: those of largest score plus Gumbel noise times ``temperature``
     over the same size. Equal sums go to the smaller key. Texts without
     words have score 0. Rows that share id and text are one document; null ids
-    have no label. Without labels, or where the rows held back for the cutoff are
+    have no label. Without labels, or where the rows judged for the cutoff are
     all good or all bad, everything is kept; an empty table gives an empty
-    result. Reruns agree.
+    result. Toxicity is not judged: toxic rows are no targets, but toxic text of
+    good quality passes like other text. Reruns agree.
     """
     model = fit(docs, labels, id_col, text_col)
     keyed = with_keys(docs, id_col, text_col)
-    raw = keyed.select("key", "text").mapInArrow(
-        _scorer(model.log_ratio), "key bigint, log_weight double, n_features bigint"
+    raw = keyed.select("key", "text", F.lit(0).alias("fold")).mapInArrow(
+        _scorer(model.log_ratio[None, :]), "key bigint, log_weight double, n_features bigint"
     )
     size = F.col("n_features") + F.lit(SHRINK)
     score = F.col("log_weight") / size

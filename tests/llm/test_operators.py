@@ -495,6 +495,45 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert np.mean(good) >= 0.97 and np.mean(bad) >= 0.9
 
 
+def test_quality_against_brute_force(spark, unique_docs, unique_rows):
+    labels = [(r[0], r[0] % 3 > 0, r[0] % 7 == 0) for r in unique_rows if r[0] < 200]
+    frame = spark.createDataFrame(
+        [(i, int(f), int(t)) for i, f, t in labels], "doc_id bigint, quality int, toxic int"
+    )
+    fold = {r.id: r.fold for r in importance.labelled_sample(frame).collect()}
+    found = {r[0]: importance.features(r[1] or "", {}) for r in unique_rows}
+    n = importance.BUCKETS
+
+    def model(ids):
+        raw, target = np.zeros(n), np.zeros(n)
+        for f in found.values():
+            np.add.at(raw, f, 1)
+        for i in ids:
+            np.add.at(target, found[i], 1)
+        p = (raw + 0.5) / (raw.sum() + 0.5 * n)
+        return np.log((target + 0.5 * n * p) / (target.sum() + 0.5 * n) / p)
+
+    size = lambda i: len(found[i]) + importance.SHRINK
+    good = [i for i, f, t in labels if f and not t]
+    judged = good + [i for i, f, _ in labels if not f]
+    without = [model([i for i in good if fold[i] != k]) for k in range(importance.FOLDS)]
+    cutoff = importance._best_cutoff(
+        [(without[fold[i]][found[i]].sum() / size(i), i in set(good)) for i in judged]
+    )
+    whole = model(good)
+    weight = {i: whole[f].sum() for i, f in found.items()}
+    keys = spark.createDataFrame([(i,) for i in found], "key bigint")
+    noise = dict(keys.select("key", importance._gumbel(F.col("key"), 5)).collect())
+    drawn = {i: (weight[i] + noise[i]) / size(i) for i in found}
+    k = sum(weight[i] / size(i) > cutoff for i in found)
+    kept = set(sorted(found, key=lambda i: (-drawn[i], i))[:k])
+    got = importance.quality_scores(unique_docs, frame).collect()
+    assert 0 < k < len(found) and {r.row.doc_id for r in got if r.kept} == kept
+    assert {r.row.doc_id: r.log_weight for r in got} == pytest.approx(weight)
+    # The noise tells: the largest scores alone would be other documents.
+    assert kept != set(sorted(found, key=lambda i: -weight[i] / size(i))[:k])
+
+
 def test_quality_edge_cases(spark, docs, rows, no_docs):
     kind = "doc_id bigint, quality int, toxic int"
     none = spark.createDataFrame([], kind)
