@@ -3,8 +3,9 @@
 Normalised texts are dealt into ranges of their bytes by sampled cut points,
 each range is sorted (Spark's external sort), equal texts become neighbours,
 and a full comparison with the neighbour tells where a run begins. A cut point
-also holds a hash of the id, so a group of copies of any size is spread over
-several ranges; the groups that a cut point runs through are counted apart.
+also holds a hash of the row's number, so a group of copies of any size,
+repeated rows too, is spread over several ranges; the groups that a cut point runs
+through are counted apart.
 """
 
 from __future__ import annotations
@@ -39,58 +40,53 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     normal = F.regexp_replace(text_of(text_col), WHITE, " ")
     lead = F.rpad(F.hex(F.substring(F.col("norm").cast("binary"), 1, LEAD_BYTES)), 2 * LEAD_BYTES, "0")
-
-    def sort_keys(df: DataFrame) -> DataFrame:
-        hashed = df.withColumn("norm", normal).withColumn("digest", F.sha2("norm", 256))
-        return hashed.withColumn("k", F.concat(lead, "digest")).withColumn(
-            "place", F.concat("k", F.hex(F.xxhash64(field(id_col))))
-        )
-
-    rows = packed(docs)
-    keys = written(
-        sort_keys(rows).select(
-            "k", "digest", "place", field(id_col).alias("id"), F.octet_length("norm").alias("n")
-        ),
+    # Numbers are given once and written, so that they hold for every later pass.
+    numbered = packed(docs).withColumn("nth", F.monotonically_increasing_id())
+    hashed = numbered.withColumn("norm", normal).withColumn("digest", F.sha2("norm", 256))
+    rows = written(
+        hashed.withColumn("n", F.octet_length("norm")).withColumn("k", F.concat(lead, "digest")).drop("norm"),
         "content-keys",
-    )
-    n_rows, n_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    cuts = sampled_cuts(keys, "place", n_rows, choose_ranges(n_bytes, BYTES_PER_RANGE))
+    ).withColumn("place", F.concat("k", F.hex(F.xxhash64("nth"))))
+    n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cuts = sampled_cuts(rows, "place", n_rows, choose_ranges(n_bytes, BYTES_PER_RANGE))
 
     # Groups that a cut point may run through: at most one per cut point.
     cut_keys = sorted({c[: 2 * LEAD_BYTES + 64] for c in cuts})
+    smallest = F.min(F.struct(field(id_col).isNull(), field(id_col).alias("id"), "nth"))
     split_groups = (
-        keys.where(F.col("k").isin(cut_keys))
+        rows.where(F.col("k").isin(cut_keys))
         .groupBy("digest")
-        .agg(F.min("id").alias("all_min"), F.count(F.lit(1)).alias("all_n"))
+        .agg(smallest.alias("least"), F.count(F.lit(1)).alias("all_n"))
+        .select("digest", F.col("least.id").alias("all_min"), F.col("least.nth").alias("all_nth"), "all_n")
     )
 
-    ranged = sort_keys(rows).select("row", "k", "digest", range_index(F.col("place"), cuts).alias("range"))
-    ranged = ranged.repartition("range").withColumn("norm", normal)
-    order = Window.partitionBy("range").orderBy("k", "norm", F.asc_nulls_last(field(id_col)))
+    ranged = rows.select("row", "nth", "k", "digest", range_index(F.col("place"), cuts).alias("range"))
+    # A task per range: one shuffle partition each, whatever the session's number.
+    ranged = ranged.repartitionById(len(cuts) + 1, F.col("range")).withColumn("norm", normal)
+    order = Window.partitionBy("range").orderBy("k", "norm", F.asc_nulls_last(field(id_col)), "nth")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     begins = ~F.col("norm").eqNullSafe(F.lag("norm").over(order))
     runs = (
         ranged.withColumn("begins", begins)
         .withColumn("run", F.sum(F.col("begins").cast("int")).over(so_far))
-        .withColumn("nth", F.row_number().over(order))
         .drop("norm", "k")
     )
     of_run = Window.partitionBy("range", "run")
     in_run = runs.select(
         "row",
+        "nth",
         "digest",
+        "begins",
         F.min(field(id_col)).over(of_run).alias("run_min"),
         F.count(F.lit(1)).over(of_run).alias("run_n"),
-        (F.col("nth") == F.min("nth").over(of_run)).alias("first"),
     )
     whole = in_run.join(F.broadcast(split_groups), "digest", "left")
-    keep_id = F.when(F.col("all_n").isNull(), F.col("run_min")).otherwise(F.col("all_min"))
-    whole = whole.withColumn("keep_id", keep_id)
+    split = F.col("all_n").isNotNull()
     return whole.select(
         "row",
-        "keep_id",
+        F.when(split, F.col("all_min")).otherwise(F.col("run_min")).alias("keep_id"),
         F.coalesce("all_n", "run_n").alias("group_size"),
-        (F.col("first") & field(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(split, F.col("nth") == F.col("all_nth")).otherwise(F.col("begins")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
