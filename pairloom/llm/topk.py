@@ -2,8 +2,8 @@
 
 Every query is scored against every candidate, block by block, and no score is
 moved: a pass sends score histograms instead. Global counts per query locate the
-bin of the k-th score, the next pass counts that bin alone, until the k-th score
-is known. A last pass keeps what lies above it and, of what equals it, the
+bin of the k-th score, the next pass cuts that bin alone into as many finer ones,
+until bins are single scores and the k-th score is known. A last pass keeps what lies above it and, of what equals it, the
 smallest ids. A task's histogram of a query ends at the bin of its own k-th
 score, because the global k-th score is never below that.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import field, packed, written
@@ -43,11 +43,14 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return rows.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
 
 
-def _blocks(rows: DataFrame, block: str, size: int) -> DataFrame:
-    """One row per block: ids and vectors, a bounded number of each."""
-    count = rows.count()
-    n = max(1, -(-count // size))
-    by_hash = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+def _n_blocks(rows: DataFrame, size: int) -> int:
+    return max(1, -(-rows.count() // size))
+
+
+def _blocks(rows: DataFrame, block: str, size: int, spread: Column) -> DataFrame:
+    """One row per block: ids and vectors, a bounded number of each where the hash
+    of ``spread`` differs from row to row."""
+    by_hash = F.pmod(F.xxhash64(spread), F.lit(_n_blocks(rows, size))).cast("int")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
@@ -107,12 +110,18 @@ def _histogram(k: int, width: float):
     return count
 
 
-def _refined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Second pass: per query the counts of single scores inside its bin."""
-    for r, q_ids, _, s in _tiles(frames):
-        low, high = _limits(r, q_ids)
-        row, col = np.nonzero((s >= low[:, None]) & (s < high[:, None]))
-        yield _summed(q_ids[row], s[row, col].astype(np.int64))
+def _refined(step: float):
+    """Further passes: per query the counts of the parts of its bin, each ``step``
+    wide; a part is its number from the bin's lower end."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, q_ids, _, s in _tiles(frames):
+            low, high = _limits(r, q_ids)
+            row, col = np.nonzero((s >= low[:, None]) & (s < high[:, None]))
+            parts = (s[row, col].astype(np.float64) - low[row]) // step
+            yield _summed(q_ids[row], parts.astype(np.int64))
+
+    return count
 
 
 def _limits(r, q_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +212,7 @@ def top_k(
     """
     rows = written(integer_vectors(vectors, id_col, vector_col, scale), "vectors")
     asking = written(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    q = written(_blocks(asking, "q", QUERY_BLOCK), "query-blocks")
+    q = written(_blocks(asking, "q", QUERY_BLOCK, F.col("vec_id")), "query-blocks")
     n_blocks = q.count()
     if not n_blocks:
         return rows.select(
@@ -212,9 +221,11 @@ def top_k(
         ).limit(0)
     of_query = asking.select(
         F.col("vec_id").alias("query_id"),
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-asking.count() // QUERY_BLOCK)))).cast("int").alias("q"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(_n_blocks(asking, QUERY_BLOCK))).cast("int").alias("q"),
     )
-    c = written(_blocks(rows, "c", CANDIDATE_BLOCK), "candidate-blocks")
+    # By the place in the stored table, so that repeated rows are dealt out too.
+    place = F.monotonically_increasing_id()
+    c = written(_blocks(rows, "c", CANDIDATE_BLOCK, place), "candidate-blocks")
     # Every candidate block meets every query block, by an equi-join.
     meets = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(_last_block(q)))))
     pairs = meets.repartition("c", "q").join(q, "q")
@@ -225,16 +236,22 @@ def top_k(
 
     counts = _pass(pairs, None, _histogram(k, width), "query_id bigint, bin bigint, n bigint")
     counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-    coarse = written(_reached(counts.withColumn("before", F.lit(0)), k), "coarse")
-    limits = coarse.select(
-        "query_id", (F.col("bin") * width).alias("low"), ((F.col("bin") + 1) * width).alias("high")
-    )
-    counts = _pass(pairs, _per_block(limits, of_query), _refined, "query_id bigint, bin bigint, n bigint")
-    counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-    counts = counts.join(coarse.select("query_id", F.col("over").alias("before")), "query_id")
-    fine = written(_reached(counts, k), "fine")
-    limits = fine.select(
-        "query_id", F.col("bin").cast("double").alias("low"), (F.lit(k) - F.col("over")).cast("double").alias("high")
+    # The k-th score of a query lies in [low, low + width); ``over`` scores lie above.
+    at = _reached(counts.withColumn("before", F.lit(0).cast("bigint")), k)
+    state = written(at.select("query_id", (F.col("bin") * width).alias("low"), "over"), "kth-bins")
+    while width > 1:
+        step = float(-(-int(width) // BINS))
+        limits = state.select("query_id", "low", (F.col("low") + width).alias("high"))
+        counts = _pass(pairs, _per_block(limits, of_query), _refined(step), "query_id bigint, bin bigint, n bigint")
+        counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = counts.join(state.select("query_id", F.col("over").alias("before")), "query_id")
+        found = _reached(counts, k).join(state.select("query_id", "low"), "query_id")
+        state = written(
+            found.select("query_id", (F.col("low") + F.col("bin") * step).alias("low"), "over"), "kth-bins"
+        )
+        width = step
+    limits = state.select(
+        "query_id", "low", (F.lit(k) - F.col("over")).cast("double").alias("high")
     )
     found = _pass(pairs, _per_block(limits, of_query), _above, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -407,6 +407,24 @@ def test_one_text_for_all(spark):
     assert [tuple(r) for r in got] == [(0, 3_000, 1)]
 
 
+def test_many_repeated_rows_without_id_are_spread(spark, monkeypatch):
+    seen = []
+    plain = exact_dedup.range_index
+
+    def listed(key, cuts):
+        seen.append(cuts)
+        return plain(key, cuts)
+
+    monkeypatch.setattr(exact_dedup, "range_index", listed)
+    same = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    frame = same.unionByName(spark.createDataFrame([(5, "other"), (5, "other")], same.schema))
+    whole = exact_dedup.exact_duplicates(frame)
+    got = whole.groupBy("keep_id", "group_size").agg(F.sum(F.col("kept").cast("int"))).collect()
+    assert {tuple(r) for r in got} == {(None, 100_000, 1), (5, 2, 1)}
+    per_task = whole.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+    assert len(seen[0]) > 200 and per_task[0] < 3_000 and per_task[1] > 200
+
+
 def brute_classes(rows, least=0.8):
     sets = {}
     for i, t in rows:
@@ -589,3 +607,32 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = topk.top_k(frame.where("vec_id in (20, 40, 60)"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 6
+
+
+def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BINS", 16)
+    passes = []
+    plain = topk._pass
+
+    def listed(pairs, limits, work, schema):
+        passes.append(plain(pairs, limits, work, schema))
+        return passes[-1]
+
+    monkeypatch.setattr(topk, "_pass", listed)
+    rng = np.random.default_rng(3)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 3)))]
+    # One very long vector, and repeated rows of one id.
+    data += [(1_000, [2.0**14] * 3)] + [(1_001, [0.5, -0.5, 1.0])] * 300
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = topk.top_k(frame, F.col("vec_id") % 100 == 0, k=5).collect()
+    fine = [(i, np.floor(64 * np.array(v))) for i, v in data]
+    expected = []
+    for q, v in fine:
+        if q % 100 == 0:
+            scored = sorted((-int(v @ c), i) for i, c in fine if i != q)[:5]
+            expected += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    # Passes between the first and the last: each query sends 16 counts at most.
+    assert len(passes) > 5
+    for counts in passes[1:-1]:
+        assert counts.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 16
