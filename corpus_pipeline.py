@@ -60,8 +60,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-# Signatures, sampling and packing are not expressible in SQL; the tests compare
-# every stage with a brute-force version.
+# Signatures, sampling and packing are not expressible in SQL. The operators have
+# tests of their own; those of the stages check which documents each one passes on.
 ORACLE_SQL = None
 
 
