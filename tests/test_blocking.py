@@ -2,7 +2,7 @@ from itertools import product
 
 import pytest
 
-from pairloom.operators import blocking, skew
+from pairloom.operators import blocking, skew, staging, topk
 from pairloom.operators.blocking import KEY_CHANNELS, RARE_GRAM
 
 SCHEMA = (
@@ -159,3 +159,44 @@ def test_frequent_grams_past_the_broadcast_bound(normalized, rows_of, monkeypatc
 def test_fixture_counts(normalized, target, expected):
     for channel, n in expected.items():
         assert blocking.candidate_pairs(normalized["s1"], normalized[target], [channel]).count() == n
+
+
+@pytest.mark.parametrize("channels", [KEY_CHANNELS, [RARE_GRAM], [*KEY_CHANNELS, RARE_GRAM]])
+def test_pairs_of_single_rows_are_not_made_distinct(normalized, rows_of, channels):
+    tables = normalized["s1"], normalized["s3"]
+    pairs = blocking.candidate_pairs(*tables, channels, max_doc_freq=0.02)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [s1_id" not in plan
+    each = [blocking.candidate_pairs(*tables, [c], max_doc_freq=0.02) for c in channels]
+    expected = {pair for df in each for pair in rows_of(df)}
+    assert rows_of(pairs) == sorted(expected, key=repr)
+
+
+def test_pairs_of_repeated_and_null_ids(spark, rows_of):
+    one = [*ONE, ONE[0], ("S1-1", "acme", "9 side rd", "9", ""), (None, "acme", None, "1", ""), (None, "acme", None, "1", "")]
+    two = [*TWO, TWO[0], ("S2-1", "zeta", None, "9", ""), (None, "acme", None, None, None)]
+    tables = spark.createDataFrame(one, SCHEMA), spark.createDataFrame(two, SCHEMA)
+    for channels in (KEY_CHANNELS, ["postal"], ["house_name"]):
+        named = [[(row[0] or "", *row[1:]) for row in rows] for rows in (one, two)]
+        found = {(a or None, b or None) for a, b in brute_pairs(*named, channels)}
+        expected = sorted(found, key=repr)
+        assert rows_of(blocking.candidate_pairs(*tables, channels)) == expected
+        listed = topk.token_overlap_pairs(blocking.candidate_pairs(*tables, channels), *tables)
+        carried = blocking.candidate_pairs(*tables, channels, with_tokens=True)
+        assert rows_of(topk.token_overlap_pairs(carried, *tables)) == rows_of(listed)
+
+
+def test_gram_counts_hold_no_entry_per_entity(spark, rows_of):
+    rows = [("a", "abcdabcd"), ("b", "abcd"), ("c", "abcde"), ("c", "abcd"), (None, "abcd"), (None, "zzzz")]
+    df = spark.createDataFrame(rows, "entity_id string, name_norm string")
+    counts = dict(rows_of(blocking.gram_document_frequency(df)))
+    assert counts == {"abcd": 3, "bcda": 1, "cdab": 1, "dabc": 1, "bcde": 1, "zzzz": 0}
+    single = blocking.gram_document_frequency(df.where("entity_id < 'c'"))
+    assert "Aggregate [gram" in single._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [entity_id" not in single._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entity_tables_have_files_for_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(staging, "ROWS_PER_FILE", 10)
+    stored = staging.stage_spread(spark.range(95).coalesce(1).toDF("entity_id"), "spread")
+    assert len(stored.inputFiles()) == 10 and stored.distinct().count() == 95
