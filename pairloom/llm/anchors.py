@@ -33,6 +33,10 @@ WINDOW = 50
 BUCKET_BYTES = 16 << 20
 BUCKETS_AT_ONCE = 2_048
 _ENTRIES, _DOCS = 1 << 20, 60_000
+# Of a bucket, about so many are put in groups at once.
+_AT_ONCE = 1 << 19
+# Rows hold the entries of many documents: an Arrow batch is cut by bytes, not rows.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _U = np.uint64
 _NULL_KEY = (1 << 63) - 1
 # Odd bases of the rolling hashes (fixed values).
@@ -118,7 +122,7 @@ class _Groups:
             x = x[self.order]
             new[1:] |= x[1:] != x[:-1]
         self.begins = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - 1
         self.keys = keys[self.order]
         self.least = np.minimum.reduceat(self.keys, self.begins)
         self.most = np.maximum.reduceat(self.keys, self.begins)
@@ -223,6 +227,7 @@ def _gathered(batches, kinds) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
 
     def whole():
         *numbers, keys = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         return numbers, keys
 
     for batch in batches:
@@ -233,7 +238,6 @@ def _gathered(batches, kinds) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
                 continue
             if bucket != at and held:
                 yield whole()
-                held = []
             at = bucket
             keys = np.frombuffer(docs, np.int64)[np.frombuffer(doc, np.uint16)]
             held.append((np.frombuffer(low, kinds[0]), np.frombuffer(high, kinds[1]), keys))
@@ -242,16 +246,34 @@ def _gathered(batches, kinds) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         yield whole()
 
 
+def _in_parts(numbers: list[np.ndarray], keys: np.ndarray) -> Iterator[tuple]:
+    """The entries of a bucket in parts; those with equal numbers share one."""
+    n = -(-len(keys) // _AT_ONCE)
+    if n <= 1:
+        yield numbers, keys
+        return
+    part = numbers[0] % n
+    for i in range(n):
+        at = np.flatnonzero(part == i)
+        yield [x[at] for x in numbers], keys[at]
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return _rows(list(_by_key(*(np.concatenate(c) for c in zip(*found)))), _FOUND)
+
+
 def _hits(batches):
     """Stretches that are an anchor somewhere and found in more than one document."""
     for found in _gathered(batches, _PROBE_KINDS):
         if isinstance(found, list):
             yield _rows(found, _FOUND)
             continue
-        (h, anchor), keys = found
-        same = _Groups([h], keys)
-        hit = ((same.most > same.least) & same.any(anchor))[same.group]
-        yield _rows(list(_by_key(same.keys[hit], h[same.order][hit])), _FOUND)
+        hits = []
+        for (h, anchor), keys in _in_parts(*found):
+            same = _Groups([h], keys)
+            hit = ((same.most > same.least) & same.any(anchor))[same.group]
+            hits.append((same.keys[hit], h[same.order[hit]]))
+        yield _joined(hits)
 
 
 def _repeats(batches):
@@ -260,10 +282,12 @@ def _repeats(batches):
         if isinstance(found, list):
             yield _rows(found, _FOUND)
             continue
-        (low, high), keys = found
-        same = _Groups([low, high], keys)
-        repeated = same.keys > same.least[same.group]
-        yield _rows(list(_by_key(same.keys[repeated], low[same.order][repeated])), _FOUND)
+        repeats = []
+        for (low, high), keys in _in_parts(*found):
+            same = _Groups([low, high], keys)
+            repeated = same.keys > same.least[same.group]
+            repeats.append((same.keys[repeated], low[same.order[repeated]]))
+        yield _joined(repeats)
 
 
 def _is_in(h: np.ndarray, parts: list[bytes], kind) -> np.ndarray:
@@ -421,9 +445,11 @@ def remove_shared_passages(
     dealing = (min(n_buckets, BUCKETS_AT_ONCE), -(-n_buckets // BUCKETS_AT_ONCE))
 
     probes = texts.mapInArrow(_probes(block, dealing[0]), _SENT)
-    hits = written(_answers(probes, _hits, _PROBE_KINDS, dealing), "hits")
+    hits = written(_answers(probes, _hits, _PROBE_KINDS, dealing), "hits", _SMALL_BATCHES)
     around = texts.join(hits, "key").mapInArrow(_windows_around(window, block, dealing[0]), _SENT)
-    repeats = written(_answers(around, _repeats, _WINDOW_KINDS, dealing), "repeats")
+    repeats = written(
+        _answers(around, _repeats, _WINDOW_KINDS, dealing), "repeats", _SMALL_BATCHES
+    )
     kind = dict(rows.dtypes)["row"]
     return rows.join(repeats, "key", "left").select("row", "found").mapInArrow(
         _without(window, text_col),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import anchors, bisectors, prefix_trie
+from pairloom.llm import anchors, bisectors, common, prefix_trie
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -286,3 +286,46 @@ def test_running_sums_wrap(spark):
         finally:
             prefix_trie.ROWS_PER_RANGE = before
         assert {r.i: r.sum_x for r in got} == expected
+
+
+def test_entries_come_to_a_task_in_small_batches(spark, passages, monkeypatch):
+    """Both judging jobs get Arrow batches bounded in bytes, however long rows are."""
+    jobs, plain = {}, anchors.written
+
+    def noted(df, label, extra=None):
+        jobs[label] = extra or {}
+        return plain(df, label, extra)
+
+    monkeypatch.setattr(anchors, "written", noted)
+    docs = spark.createDataFrame(passages, "doc_id bigint, text string")
+    anchors.remove_shared_passages(docs, window=4).collect()
+    assert jobs["hits"] == jobs["repeats"] == anchors._SMALL_BATCHES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    long_rows = spark.range(300, numPartitions=1).selectExpr("repeat('x', 100000) AS x")
+    with common.settings(spark, anchors._SMALL_BATCHES):
+        most = max(r.n for r in long_rows.mapInArrow(sizes, "n bigint").collect())
+    assert most < 6 << 20
+
+
+def test_passages_of_buckets_in_parts(spark, passages, monkeypatch):
+    rng = np.random.default_rng(3)
+    h, keys = rng.integers(0, 400, 2_000).astype(np.uint32), rng.integers(0, 90, 2_000)
+    monkeypatch.setattr(anchors, "_AT_ONCE", 300)
+    parts = list(anchors._in_parts([h], keys))
+    assert len(parts) == 7 and sum(len(k) for _, k in parts) == 2_000
+    met = [set(x[0].tolist()) for x, _ in parts]
+    assert sum(map(len, met)) == len(set(h.tolist()))
+    assert sorted((a, b) for (x,), k in parts for a, b in zip(x, k)) == sorted(zip(h, keys))
+    batch = anchors._rows([(0, None, keys.tobytes(), h.tobytes(), np.ones(2_000, bool).tobytes(),
+                            np.arange(2_000, dtype=np.uint16).tobytes())], anchors._SENT)
+    in_parts = [sorted(b.to_pylist(), key=str) for b in anchors._hits([batch]) if b.num_rows]
+    monkeypatch.setattr(anchors, "_AT_ONCE", 1 << 19)
+    whole = [sorted(b.to_pylist(), key=str) for b in anchors._hits([batch]) if b.num_rows]
+    bag = lambda found: {r["key"]: sorted(np.frombuffer(r["hashes"], np.uint32)) for r in found[0]}
+    assert bag(in_parts) == bag(whole) and len(whole) == len(in_parts) == 1
