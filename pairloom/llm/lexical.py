@@ -29,7 +29,8 @@ _SATURATION = 1.2
 
 @lru_cache(maxsize=1)
 def _signs() -> np.ndarray:
-    return np.random.default_rng(12).integers(0, 2, (_TERMS, DIMENSIONS), dtype=np.int8) * 2 - 1
+    drawn = np.random.default_rng(12).integers(0, 2, (_TERMS, DIMENSIONS), dtype=np.int8)
+    return (drawn * 2 - 1).astype(np.float32)
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,7 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sketch(ids: np.ndarray, idf: np.ndarray, signs: np.ndarray) -> np.ndarray:
     terms, n = term_counts(ids)
     weight = (idf[terms] ** 2 * n / (n + _SATURATION)).astype(np.float32)
-    v = weight @ signs[terms].astype(np.float32)
+    v = weight @ signs[terms]
     return v / max(float(np.sqrt(v @ v)), 1e-12)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import field, packed, text_of, written
 from pairloom.llm.lexical import term_counts, with_codes
-from pairloom.llm.tokens import ID_BYTES, token_ids
+from pairloom.llm.tokens import ID_BYTES, encode_batches
 
 WINDOW = 2_048
 # About so many tokens of remainders in a shard: some hundreds of documents.
@@ -43,22 +43,43 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """Documents that hold each token id; the driver sees one row per id."""
+def _counted(batches):
+    """Token ids with ``nth``, and in the last row of a task ``seen`` and ``times``: the
+    token ids of its documents and how many of them hold each."""
+    import pyarrow as pa
 
-    def count(batches):
-        import pyarrow as pa
+    kind, sums, held = pa.list_(pa.int32()), np.zeros(VOCABULARY, dtype=np.int64), None
 
-        sums = np.zeros(VOCABULARY, dtype=np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                sums[term_counts(np.frombuffer(ids.as_buffer(), dtype="<u2"))[0]] += 1
+    def told(batch, found: list):
+        none = [None] * (batch.num_rows - len(found))
+        columns = [pa.array(none + [x[i] for x in found], kind) for i in range(2)]
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, *columns], [*batch.schema.names, "seen", "times"]
+        )
+
+    for batch in encode_batches(batches):
+        for ids in batch["ids"]:
+            sums[term_counts(np.frombuffer(ids.as_buffer(), dtype="<u2"))[0]] += 1
+        if held is not None:
+            yield told(held, [])
+        held = batch
+    if held is not None:
         seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["id", "n"])
+        yield told(held, [(seen, sums[seen])])
+
 
-    rows = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n"))
+def counted_tokens(keyed: DataFrame) -> DataFrame:
+    """``token_ids``, with the counts of :func:`document_frequencies` beside them."""
+    return keyed.select("key", "text").mapInArrow(
+        _counted, "key bigint, ids binary, n bigint, seen array<int>, times array<int>"
+    )
+
+
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """Documents that hold each token id; the driver sees one row per id."""
+    told = tokens.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("c"))
     df = np.zeros(VOCABULARY)
-    for i, n in rows.collect():
+    for i, n in told.groupBy("c.seen").agg(F.sum("c.times")).collect():
         df[i] = n
     return df
 
@@ -221,7 +242,7 @@ def pack_documents(
     )
     # ``nth`` tells rows of one id apart; it is written, so it never changes.
     tokens = written(
-        token_ids(keyed).withColumn("nth", F.monotonically_increasing_id()), "tokens"
+        counted_tokens(keyed).withColumn("nth", F.monotonically_increasing_id()), "tokens"
     )
     tail = F.col("n") % window
     n_docs, n_rests, tails = tokens.agg(

@@ -62,10 +62,11 @@ class TokenIds:
             return array("H", _exact().encode(text, add_special_tokens=False).ids).tobytes()
         if _END_OF_TEXT in text:
             return array("H", self.fast.encode(text, allowed_special="all")).tobytes()
-        return array("H", self.fast.encode_ordinary(text)).tobytes()
+        # As a buffer: making a list of the ids and reading it takes a fifth of the time.
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = TokenIds()
     end = array("H", [END_ID]).tobytes()
     for batch in text_batches(batches):
@@ -82,4 +83,4 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def token_ids(keyed: DataFrame) -> DataFrame:
     """``key``, ``text`` to ``key``, ``ids`` (with the end id) and ``n``."""
-    return keyed.select("key", "text").mapInArrow(_encode_batches, "key bigint, ids binary, n bigint")
+    return keyed.select("key", "text").mapInArrow(encode_batches, "key bigint, ids binary, n bigint")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import (
+    common,
     conversations,
     exact_dedup,
     importance,
@@ -636,3 +637,19 @@ def test_top_k_beside_a_very_long_vector(spark, monkeypatch):
     assert len(passes) > 5
     for counts in passes[1:-1]:
         assert counts.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_document_frequencies_come_with_the_tokens(spark):
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(0, 60)) for _ in range(120)] + ["", "é日 <|endoftext|>"]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").repartition(3)
+    # Several batches a task: only the last row of a task tells the counts.
+    with common.settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"}):
+        tokens = common.written(packing.counted_tokens(keyed), "tokens")
+    assert tokens.where("seen is not null").count() <= 3
+    expected, encoder = np.zeros(packing.VOCABULARY), TokenIds()
+    for r in tokens.collect():
+        ids = encoder.ids(texts[r.key]) + b"\x01\x00"
+        assert bytes(r.ids) == ids and r.n == len(ids) // 2
+        expected[np.unique(np.frombuffer(ids, "<u2"))] += 1
+    assert packing.document_frequencies(tokens).tolist() == expected.tolist()
