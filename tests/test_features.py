@@ -1,6 +1,6 @@
 import pytest
 
-from pairloom.operators import features
+from pairloom.operators import features, truth
 from pairloom.operators.skew import salted_join
 from pairloom.schemas import FEATURE_COLUMNS, MATCH_FLAGS
 from pairloom.sources.writers import write_fuzzy_features
@@ -99,3 +99,18 @@ def test_parts_resume_and_keep_results(spark, exact, rows_of, tmp_path):
     fewer = exact.where("s1_id <> 'S1-1'")
     assert rows_of(write_fuzzy_features(fewer, path, n_parts=3)) == [r for r in first if r[0] != "S1-1"]
     assert len(list((tmp_path / "fuzzy").iterdir())) == 2
+
+
+def test_labels_leave_rows_by_s1_id_where_they_lie(spark, rows_of):
+    pairs = [("a", "x"), ("a", "y"), ("b", "x"), ("c", None), (None, "x"), ("a", "x")]
+    lists = [("a", "x,z"), ("a", "x"), ("b", ""), ("c", "y"), (None, "x"), ("d", None)]
+    truths = spark.createDataFrame(lists, "source1_entity_id string, matched_entity_ids string")
+    rows = spark.createDataFrame(pairs, "s1_id string, other_id string").repartition(3, "s1_id")
+    labelled = truth.add_labels(rows.hint("merge"), truths)
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    # One for the rows as given, one or two for the truth; none by the pair.
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "s1_id" in x and "other_id" in x]
+    assert labelled.schema["label"].dataType.simpleString() == "int"
+    assert rows_of(labelled) == sorted(
+        [(*p, int(p == ("a", "x"))) for p in pairs], key=repr
+    )
