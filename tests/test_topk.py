@@ -1,10 +1,12 @@
 import random
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import blocking, skew, topk
+from pairloom.operators import blocking, ranked, skew, topk
 from pairloom.operators.blocking import KEY_CHANNELS, RARE_GRAM
 
 SCHEMA = (
@@ -211,3 +213,88 @@ def test_ids_of_very_many_rows(spark, rows_of, hot_block_rows):
             by_id.setdefault(a[0], set()).add((1 if n is None else -n, b, n))
     best = [(a, b, n) for a, rows in by_id.items() for _, b, n in sorted(rows, key=lambda r: r[:2])[:5]]
     assert found(256) == found(3) == found(1) == sorted(best, key=repr)
+
+
+def _block_rows(seed):
+    rng = random.Random(seed)
+    words = ["inc", "acme", "foods", "co", "steel"]
+
+    def rows(n):
+        return [
+            (
+                rng.choice(["a", "a", "b", "c"]),
+                rng.choice([None, *[f"r{rng.randint(0, n // 2)}"] * 9]),
+                rng.choice([None, [], *[sorted(set(rng.choices(words, k=3)))] * 8]),
+            )
+            for _ in range(n)
+        ]
+
+    left = [*rows(60), ("only left", "x", ["inc"])]
+    return left, [*rows(90), ("only right", "y", ["inc"])]
+
+
+def _best_by_hand(left, right, k, unknown):
+    expected = []
+    for block, s1_id, a in left:
+        near = {
+            (unknown if None in (a, b) else -len(set(a) & set(b)), other_id)
+            for other, other_id, b in right
+            if other == block
+        }
+        best = sorted(near, key=lambda e: (e[0], e[1] is not None, e[1] or ""))[:k]
+        if best:
+            expected.append((s1_id, [at for at, _ in best], [i for _, i in best]))
+    return sorted(expected, key=repr)
+
+
+def test_pairs_of_blocks_are_ranked_in_arrays(spark):
+    left, right = _block_rows(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kind = "block string, {} string, tokens array<string>"
+    batch_rows = spark.conf.get(key)
+    # Blocks run through several batches.
+    spark.conf.set(key, "7")
+    try:
+        found = ranked.best_of_blocks(
+            spark.createDataFrame(left, kind.format("s1_id")),
+            spark.createDataFrame(right, kind.format("other_id")),
+            ["block"],
+            4,
+            1,
+        ).collect()
+    finally:
+        spark.conf.set(key, batch_rows)
+    assert sorted(map(tuple, found), key=repr) == _best_by_hand(left, right, 4, 1)
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 10_000])
+def test_pairs_are_ranked_some_at_a_time(monkeypatch, pairs):
+    monkeypatch.setattr(ranked, "_PAIRS", pairs)
+    left, right = _block_rows(2)
+    rows = [(b, False, None, i, t) for b, i, t in right] + [(b, True, i, None, t) for b, i, t in left]
+    rows.sort(key=lambda r: (r[0], r[1], r[3] is not None, r[3] or ""))
+    block, is_left, s1_id, other_id, tokens = zip(*rows)
+    table = pa.table(
+        {
+            "s1_id": pa.array(s1_id, pa.string()),
+            "other_id": pa.array(other_id, pa.string()),
+            "tokens": pa.array(tokens, pa.list_(pa.string())),
+        }
+    )
+    number = np.unique(block, return_inverse=True)[1]
+    found = [
+        tuple(row.values())
+        for batch in ranked._lists(table, number, np.array(is_left), 4, 1)
+        for row in batch.to_pylist()
+    ]
+    assert sorted(found, key=repr) == _best_by_hand(left, right, 4, 1)
+
+
+def test_memberships_are_computed_once(spark, normalized):
+    """Counting, listing and the index read them from one written table, and the merged
+    lists are not ranked a second time."""
+    top = topk.top_candidates(normalized["s1"], normalized["s2"], hot_block_rows=20)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "name_norm" not in plan
+    merged = plan.split("Generate explode(arrays_zip(at")[0]
+    assert "Window" not in merged and "Aggregate" not in merged
