@@ -71,13 +71,13 @@ def cut(scored: DataFrame, k: int = TOP_K, group: list[str] = ["s1_id"]) -> Data
     dense rank keeps the copies together and they are dropped after the cut:
     the rank limit is applied before the shuffle as well as after it.
     """
+    return _within(scored, k, group).distinct()
+
+
+def _within(scored: DataFrame, k: int, group: list[str]) -> DataFrame:
     best = Window.partitionBy(*group).orderBy(F.desc_nulls_last("token_overlap"), "other_id")
-    return (
-        scored.withColumn("_rank", F.dense_rank().over(best))
-        .where(F.col("_rank") <= k)
-        .drop("_rank")
-        .distinct()
-    )
+    ranked = scored.withColumn("_rank", F.dense_rank().over(best))
+    return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
 def top_candidates(
@@ -174,8 +174,8 @@ def _best_of_lists(lists: DataFrame, k: int, repeated: DataFrame | None) -> Data
         .agg(F.flatten(F.collect_set(entries)).alias("entries"))
     )
     rows = _as_rows(_as_lists(_best(gathered, F.col("entries"), k, "s1_id"), "s1_id"))
-    # The best of an id in one part are distinct and at most k already.
-    return rows if repeated is None else cut(rows, k)
+    # The best of an id that was merged in one part are distinct already.
+    return _within(rows, k, ["s1_id"]) if repeated is None else cut(rows, k)
 
 
 def _listed_best(
